@@ -35,7 +35,7 @@ END_ID = 1
 #: Ids in a file, up to the last document's.
 FILE_IDS = 2_000_000
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 RANK_BITS = 512
 MAGIC = b"GMDAC001"
 
@@ -148,8 +148,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.cores: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -159,26 +159,29 @@ class Encoder:
         """A word of Latin letters and the stops after it, which are tokenized apart; other words whole."""
         core = word.rstrip(".,")
         lower = core.lower()
-        if lower.isalpha() and max(lower) < "\u0250":
+        if lower.isalpha() and (lower.isascii() or max(lower) < "\u0250"):
             return lower, word[len(core) :]
         return word, ""
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._ids(texts)
-        words = [utf8(t).split() for t in texts]
-        split = {w: self.parts(w.decode("utf-8", "replace")) for w in {w for ws in words for w in ws}}
-        need = {p for pair in split.values() for p in pair if p}.difference(self.young)
-        if len(self.young) + len(need) > CACHE_WORDS // 2:  # what is in use comes back from the older half
-            self.old, self.young = self.young, {}
-            need = {p for pair in split.values() for p in pair if p}
-        young, old = self.young, self.old
-        young.update({p: old[p] for p in need if p in old})
-        ordered = [p for p in need if p not in old]
+        texts_words = [utf8(t).split() for t in texts]
+        seen = set().union(*texts_words)
+        words, cores = self.words, self.cores
+        new = seen.difference(words)
+        if len(words) + len(new) > CACHE_WORDS:
+            words.clear()
+            new = seen
+        split = {w: self.parts(w.decode("utf-8", "replace")) for w in new}
+        need = {p for pair in split.values() for p in pair if p}
+        if len(cores) + len(need) > CACHE_WORDS:
+            cores.clear()
+        ordered = list(need.difference(cores))
         for i in range(0, len(ordered), 5000):
-            young.update(zip(ordered[i : i + 5000], self._ids(ordered[i : i + 5000]), strict=True))
-        known = {w: young[a] + young[b] if b else young[a] for w, (a, b) in split.items()}
-        return [b"".join([known[w] for w in ws]) for ws in words]
+            cores.update(zip(ordered[i : i + 5000], self._ids(ordered[i : i + 5000]), strict=True))
+        words.update({w: cores[a] + cores[b] if b else cores[a] for w, (a, b) in split.items()})
+        return [b"".join([words[w] for w in ws]) for ws in texts_words]
 
 
 def write_tokens(
@@ -203,8 +206,8 @@ def write_tokens(
             return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["value"])
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
                 encoded = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
                 for k, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                     found.append((k, ids + end))
