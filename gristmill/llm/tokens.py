@@ -148,12 +148,27 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        ends = [i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]
+        self.ends = np.zeros(max(ends, default=0) + 1, bool)
+        self.ends[ends] = True
         self.words: dict[bytes, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _core_ids(self, cores: list[str]) -> list[bytes]:
+        """Ids of letter runs: encoded as one text and parted where a word's last token ends."""
+        if not self.ends.any():
+            return self._ids(cores)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
+        if len(cuts) != len(cores) or cuts[-1] != len(ids):
+            return self._ids(cores)
+        data, to = ids.tobytes(), (cuts * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *to[:-1]], to, strict=True)]
+
     @staticmethod
     def parts(word: str) -> tuple[str, str]:
         """A word of Latin letters and the stops after it, which are tokenized apart; other words whole."""
@@ -177,9 +192,11 @@ class Encoder:
         need = {p for pair in split.values() for p in pair if p}
         if len(cores) + len(need) > CACHE_WORDS:
             cores.clear()
-        ordered = list(need.difference(cores))
-        for i in range(0, len(ordered), 5000):
-            cores.update(zip(ordered[i : i + 5000], self._ids(ordered[i : i + 5000]), strict=True))
+        need.difference_update(cores)
+        for letters, encode in ((True, self._core_ids), (False, self._ids)):
+            ordered = [p for p in need if p.isalpha() == letters]
+            for i in range(0, len(ordered), 5000):
+                cores.update(zip(ordered[i : i + 5000], encode(ordered[i : i + 5000]), strict=True))
         words.update({w: cores[a] + cores[b] if b else cores[a] for w, (a, b) in split.items()})
         return [b"".join([words[w] for w in ws]) for ws in texts_words]
 
