@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, mixing, quality, shards, simhash, tokens, toxicity, warc
+from . import decontaminate, licenses, mixing, quality, shards, simhash, suffixes, tokens, toxicity, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
         toxicity.op1_toxicity, mixing.op2_source_mixing, quality.op3_quality_rules, tokens.op4_token_files,
-        simhash.op5_simhash_duplicates, licenses.op7_license_scan, shards.op8_feistel_sharding,
+        simhash.op5_simhash_duplicates, suffixes.op6_repeated_bytes, licenses.op7_license_scan, shards.op8_feistel_sharding,
         warc.op9_warc_archives, decontaminate.op10_decontamination,
     )
 }

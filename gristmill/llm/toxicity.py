@@ -32,7 +32,7 @@ WINDOW, STRIDE = 32, 16
 HIDDEN, EMBED, ATTEND = 8, 8, 8
 WORD_ROWS = CHAR_ROWS = 1 << 16
 GRAM = 4
-SAMPLE = 1500
+SAMPLE = 1000
 SAMPLE_CHARS = 100_000
 ROUNDS, BATCH, RATE = 5, 128, 0.01
 THRESHOLD = 0.3
