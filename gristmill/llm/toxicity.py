@@ -200,12 +200,12 @@ def gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, pad: int) -> t
     return np.where(mask, flat[np.minimum(at, len(flat) - 1)], pad), mask
 
 
-def log_odds(rows: np.ndarray, of_doc: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
-    """Smoothed log-odds of the toxic class for each row, from the documents that hold it."""
-    pairs = np.unique(of_doc * size + rows)
-    doc, row = pairs // size, pairs % size
-    pos = np.bincount(row, y[doc], minlength=size)
-    neg = np.bincount(row, 1 - y[doc], minlength=size)
+def log_odds(held: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
+    """Smoothed log-odds of the toxic class for each row, from the distinct rows that each document holds."""
+    count = np.zeros((2, size))
+    for rows, toxic in zip(held, y, strict=True):
+        count[int(toxic), rows] += 1
+    neg, pos = count
     odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / ((1 - y).sum() + 1))
     return (odds * (pos + neg) / (pos + neg + 3)).astype(np.float32)
 
@@ -219,15 +219,10 @@ def train(texts: list[str], y: np.ndarray, share: float) -> Model:
     flat, lengths, words = tokenize(texts)
     feats = rows, grams, of = features(words)
     doc, begin, size = windows_of(lengths)
-    doc_of_word = np.repeat(np.arange(len(texts)), lengths)
-    word_odds = log_odds(rows[flat], doc_of_word, y, WORD_ROWS)
-    # a gram is in the documents its words are in; a word's grams stand together
-    cut = np.searchsorted(of, np.arange(len(words) + 1))
-    pairs = np.unique(doc_of_word * len(words) + flat)
-    pair_doc, pair_word = pairs // len(words), pairs % len(words)
-    n = np.diff(cut)[pair_word]
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(cut[pair_word], n)
-    char_odds = log_odds(grams[at], np.repeat(pair_doc, n), y, CHAR_ROWS)
+    cut = np.searchsorted(of, np.arange(len(words) + 1))  # a word's grams stand together
+    held = [np.unique(part) for part in np.split(flat, np.cumsum(lengths)[:-1])]
+    word_odds = log_odds([np.unique(rows[w]) for w in held], y, WORD_ROWS)
+    char_odds = log_odds([np.unique(_only(feats, w, cut)[1]) for w in held], y, CHAR_ROWS)
     model.p["word"][:, 0] = word_odds
     model.p["char"][:, 0] = char_odds
     adam = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
