@@ -20,7 +20,7 @@ def safety_codes(comment: Column) -> Column:
     grammar = f"(?Us)^SAFETY{_SPACE}*(?:\\[([^\\]]*)\\])?{_SPACE}*:{_SPACE}*(.*)$"
     reason = F.regexp_extract(body, grammar, 2)
     scoped = body.rlike(f"(?U)^SAFETY{_SPACE}*\\[")
-    codes = F.filter(F.transform(F.split(F.regexp_extract(body, grammar, 1), ","), F.trim), lambda c: c != "")
+    codes = F.filter(F.transform(F.split(F.regexp_extract(body, grammar, 1), ","), lambda c: F.trim(c)), lambda c: c != "")
     known = F.forall(codes, lambda c: c.isin(SUPPRESSIBLE)) & (F.size(codes) > 0)
     valid = (
         comment.startswith("#") & ~comment.startswith("##") & ~body.startswith("type:") & body.rlike(grammar)
@@ -37,7 +37,7 @@ def ignore_codes(comment: Column) -> Column:
     """Codes in the brackets of a type-ignore comment; null without brackets."""
     body = comment_body(comment)
     inside = F.regexp_extract(body, r"(?U)^type:\s*ignore\s*\[([^\]]*)\]", 1)
-    codes = F.filter(F.transform(F.split(inside, ","), F.trim), lambda c: c != "")
+    codes = F.filter(F.transform(F.split(inside, ","), lambda c: F.trim(c)), lambda c: c != "")
     return F.when(body.rlike(r"(?U)^type:\s*ignore\s*\["), codes)
 
 
@@ -58,7 +58,7 @@ def ignore_norm(comment: Column) -> Column:
 def disable_norm(comment: Column) -> Column:
     """Weakening parts of a pyright comment (basic, standard, reportX=false|none), sorted; null: none."""
     body = comment_body(comment)
-    parts = F.transform(F.split(F.regexp_extract(body, "(?s)^pyright:(.*)$", 1), ","), F.trim)
-    weak = F.filter(F.transform(parts, F.lower), lambda p: p.isin("basic", "standard") | p.rlike("^report[a-z]+=(false|none)$"))
+    parts = F.transform(F.split(F.regexp_extract(body, "(?s)^pyright:(.*)$", 1), ","), lambda p: F.trim(p))
+    weak = F.filter(F.transform(parts, lambda p: F.lower(p)), lambda p: p.isin("basic", "standard") | p.rlike("^report[a-z]+=(false|none)$"))
     valid = body.startswith("pyright:") & F.forall(parts, lambda p: p != "") & (F.size(weak) > 0)
     return F.when(valid, F.array_join(F.array_sort(F.array_distinct(weak)), "|"))
