@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import sys
 import uuid
 
@@ -71,6 +72,12 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of what is settled: its cleaner follows the driver's garbage collections."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: a cut in the lineage that lost executors cannot undo."""
     spark = df.sparkSession

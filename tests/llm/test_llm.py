@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -126,7 +127,7 @@ def test_simhash(spark, docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_suffixes(spark, none):
+def test_suffixes(spark, none, monkeypatch):
     parts = ["".join(RNG.choice("abcdefgh ") for _ in range(n)) for n in (60, 45, 120)]
     texts = []
     for _ in range(40):
@@ -136,8 +137,15 @@ def test_suffixes(spark, none):
         texts.append(t)
     texts += [None, "", texts[3], "a" * 100, "ab" * 70]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove(df, length=40, reach=20).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove(df, length=40, reach=20, fine=4).collect()}
     assert [got[i] for i in range(len(texts))] == suffixes.brute_force(texts, 40)
+    raws = [(i, (t or "").encode()) for i, t in enumerate(texts)]
+    seen = Counter(r[i : i + 40] for _, r in raws for i in range(len(r) - 39))
+    want = {(k, i) for k, r in raws for i in range(len(r) - 39) if seen[r[i : i + 40]] > 1}
+    assert {(r.doc_id, r.p) for r in suffixes.double_prefixes(df, length=40).collect()} == want
+    monkeypatch.setattr(suffixes, "BLOCK", 16)  # long texts go block by block
+    assert suffixes.finer(b"x" * 100, [(20, 30, 30)], 40, 8)[0][:3] == (20, 22, 30)
+    assert [a.tolist() for a in suffixes.anchors(b"ab" * 50, 40, 8)][0][:2] == [0, 1]
     assert suffixes.remove(none).count() == 0
 
 
