@@ -151,8 +151,10 @@ def _judged(ranges: DataFrame, name: str) -> DataFrame:
     release(ranges.sparkSession)
     equal = ranges.groupBy("core", "whole").agg(F.sum("weight").alias("n"), F.min(F.struct("rid", "place")).alias("speaker"))
     single = equal.groupBy("core").agg(F.min("n").alias("least")).where("least = 1").select(F.col("core").alias("c"), F.lit(True).alias("any"))
-    equal = equal.join(single, F.col("core") == F.col("c"), "left").select(F.col("core").alias("k"), F.col("whole").alias("w"), "n", "any", "speaker")
-    marked = ranges.join(equal, (F.col("core") == F.col("k")) & (F.col("whole") == F.col("w")))
+    # one key of both names: a join on the two would be dealt by the core alone, and a hot core would meet in one task
+    both = F.xxhash64("core", "whole")
+    equal = equal.join(single, F.col("core") == F.col("c"), "left").select(both.alias("k"), "n", "any", "speaker")
+    marked = ranges.join(equal, both == F.col("k"))
     speaks = F.col("any") & (F.col("speaker.rid") == F.col("rid")) & (F.col("speaker.place") == F.col("place"))
     kept = [c for c in ranges.columns if c not in ("core", "whole", "weight")]
     weight = F.when(F.col("n") > 1, 2).otherwise(1).alias("weight")
