@@ -207,33 +207,49 @@ def links(codes: DataFrame, *, limit: int = LIMIT, group_rows: int = GROUP_ROWS)
 
 
 def fingerprints(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """key, code (a signed long) of every row."""
-    rows = df.select(F.col(key), F.col(text).alias("__t"))
+    """key, th (MD5 of the text), code (a signed long) of every row."""
+    rows = df.select(F.col(key), F.col(text).alias("__t"), text_digest(text).alias("th"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(codes, np.uint64).view(np.int64))], names=[key, "code"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(codes, np.uint64).view(np.int64))], names=[key, "th", "code"])
 
-    return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, code long")
+    return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, th string, code long")
 
 
-def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", limit: int = LIMIT, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """key, fingerprint (hex), component_id of every row."""
+def text_digest(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
+def _rooted(df: DataFrame, key: str, text: str, limit: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and code, first (smallest key), root of every distinct one."""
     docs = settle(fingerprints(df, key=key, text=text), "fingerprints")
     codes = settle(docs.groupBy("code").agg(F.min(key).alias("first")), "codes")
     roots = components(links(codes, limit=limit, group_rows=group_rows))
-    codes = codes.join(roots, codes.code == roots.node, "left").select("code", "first", F.coalesce("root", "code").alias("root"))
+    return docs, codes.join(roots, codes.code == roots.node, "left").select("code", "first", F.coalesce("root", "code").alias("root"))
+
+
+def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", limit: int = LIMIT, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """key, fingerprint (hex), component_id of every row."""
+    docs, codes = _rooted(df, key, text, limit, group_rows)
     least = codes.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = codes.join(least, "root").select("code", "component_id")
     return docs.join(classes, "code").select(key, F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, *, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """df with one row of each group of near-duplicates: that with the smallest key (of repeated rows, one)."""
-    found = near_duplicates(df, key=key, text=text, limit=limit)
-    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__kept")).distinct()
-    return df.join(kept, F.col(key).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([key])
+    """df with one row of each group of near-duplicates: that with the smallest key (null: last), then text digest; of equal rows, one.
+
+    Rows are told apart by key and text, so documents that share a key, or have none, keep their own groups.
+    """
+    docs, codes = _rooted(df, key, text, limit, GROUP_ROWS)
+    best = docs.groupBy("code").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "th")).alias("best"))
+    best = best.join(codes.select("code", "root"), "code").groupBy("root").agg(F.min("best").alias("best"))
+    best = best.select(F.col("best.id").alias("__id"), F.col("best.th").alias("__best"))
+    rows = df.withColumn("__th", text_digest(text))
+    rows = rows.join(best, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__best")), "left_semi")
+    return rows.dropDuplicates([key, "__th"]).drop("__th")
 
 
 def op5_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
