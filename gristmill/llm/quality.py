@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import settle, table, utf8
 
@@ -115,6 +116,16 @@ def measured(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _removals(docs: DataFrame, max_documents: int) -> DataFrame:
+    """rid, line, words of every line (of a text, once) that goes."""
+    pairs = docs.select("host", "th", F.explode("lines").alias("line")).distinct()
+    common = pairs.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_documents)
+    common = common.select(F.col("host").alias("h"), F.col("line").alias("l"))
+    lines = docs.select("rid", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("x"))
+    lines = lines.select("rid", "host", F.col("x.lines").alias("line"), F.col("x.sizes").alias("words"))
+    return lines.join(common, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")), "left_semi")
+
+
 def judge(
     df: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", max_documents: int = MAX_DOCUMENTS,
     min_left: float = MIN_LEFT, min_words: int = MIN_WORDS,
@@ -122,13 +133,7 @@ def judge(
     """key, the counts, base_failed, n_removed_words, kept."""
     docs = measured(df, key, text, host).withColumn("rid", F.monotonically_increasing_id())
     docs = settle(docs, "quality")  # ids of rows must not change between the uses below
-    pairs = docs.select("host", "th", F.explode("lines").alias("line")).distinct()
-    common = pairs.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_documents)
-    common = common.select(F.col("host").alias("h"), F.col("line").alias("l"))
-    lines = docs.select("rid", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("x"))
-    lines = lines.select("rid", "host", F.col("x.lines").alias("line"), F.col("x.sizes").alias("words"))
-    removed = lines.join(common, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")), "left_semi")
-    removed = removed.groupBy("rid").agg(F.sum("words").alias("removed"))
+    removed = _removals(docs, max_documents).groupBy("rid").agg(F.sum("words").alias("removed"))
     rows = docs.drop("lines", "sizes").join(removed, "rid", "left").withColumn("removed", F.coalesce("removed", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     left = F.col("n_words") - F.col("removed")
@@ -139,6 +144,37 @@ def judge(
     )
 
 
+def clean(df: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+    """df with lines above the limit taken out of the text; texts without such lines stay as they are, to the byte."""
+    docs = settle(measured(df, key, text, host).withColumn("rid", F.monotonically_increasing_id()), "quality")
+    gone = _removals(docs, max_documents).groupBy("rid").agg(F.collect_list("line").alias("lines"))  # of one text each
+    gone = gone.join(docs.select("rid", "host", "th"), "rid").groupBy("host", "th").agg(F.first("lines").alias("__gone"))
+    gone = gone.select(F.col("host").alias("__host"), F.col("th").alias("__of"), "__gone")
+
+    columns = df.columns
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [xxhash.xxh64_intdigest(utf8(t.as_py())) - 2**63 for t in batch.column(batch.schema.get_field_index(text))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*columns, "__th"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = batch.schema.get_field_index(text), []
+            for t, lines in zip(batch.column(at), batch.column("__gone"), strict=True):
+                t = t.as_py()
+                if lines.is_valid:
+                    bad = set(lines.as_py())
+                    t = "\n".join(x for x in t.split("\n") if bad.isdisjoint(line_words(utf8(x))))
+                out.append(t)
+            parts = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(columns))]
+            yield pa.RecordBatch.from_arrays(parts, names=columns)
+
+    rows = df.mapInArrow(hashed, T.StructType([*df.schema.fields, T.StructField("__th", T.LongType())]))
+    same = F.col(host).cast("string").eqNullSafe(F.col("__host")) & (F.col("__th") == F.col("__of"))
+    return rows.join(gone, same, "left").select(*[F.col(f"`{c}`") for c in columns], "__gone").mapInArrow(cut, df.schema)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 

@@ -61,6 +61,8 @@ def test_quality(spark, docs, none):
     pages = spark.createDataFrame([(i, f"{line}\npage {i}", "h") for i in range(20)] + [(99, line + " not", "h")], "doc_id long, text string, source string")
     kept = {r.doc_id: r.kept for r in quality.judge(pages, max_documents=10).collect()}
     assert kept[99] and not any(kept[i] for i in range(20))
+    assert {r.doc_id: r.text for r in quality.clean(pages, max_documents=10).collect()} == {**{i: f"page {i}" for i in range(20)}, 99: line + " not"}
+    assert sorted(map(str, quality.clean(docs).collect())) == sorted(map(str, docs.collect())) and quality.clean(none).count() == 0
 
 
 def test_codes_and_token_files(spark, docs, none, tmp_path):
@@ -125,6 +127,9 @@ def test_simhash(spark, docs, none):
     assert len(rows) == len(DOCS) and {r.component_id for r in rows if r.doc_id in (1, 7)} == {1} and {r.component_id for r in rows if r.doc_id in (2, 3)} == {2}
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect() if r.doc_id in (1, 2, 3, 4, 7)) == [1, 2, 4]
     assert simhash.near_duplicates(none).count() == 0
+    rows = [(None, "one text of its own"), (None, "quite another text here it is"), (5, "a third one with words"), (5, "and a fourth that shares its id"), (5, "a third one with words"), (9, "one text of its own")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted({*rows} - {rows[0]}, key=str)
 
 
 def test_suffixes(spark, none, monkeypatch):
