@@ -10,6 +10,9 @@ from ..plans.catalog import BUILT, RULES, active
 
 CASTS = ["typing.cast", "typing_extensions.cast"]
 ANYS = ["typing.Any", "typing_extensions.Any"]
+NO_CHECKS = ["typing.no_type_check", "typing_extensions.no_type_check"]
+PATCHES = ["unittest.mock.patch", "mock.patch"]
+PATCH_OBJECTS = [f"{p}.object" for p in PATCHES]
 _SCOPED = [r[0] for r in RULES if r[4]]
 
 
@@ -44,7 +47,7 @@ def fingerprint(prefix: str, *parts: Column) -> Column:
 
 
 def candidates(facts: DataFrame) -> DataFrame:
-    """Cast calls, type-ignore and checker-disable comments with fingerprint material and duplicate marks."""
+    """Cast calls, type-ignore and checker-disable comments, no-type-check decorators and patch calls with fingerprint material and duplicate marks."""
     bindings = facts.where("fact = 'binding'")
     calls = resolve(facts.where("fact = 'call'"), bindings, "name", "callee").where(F.col("callee").isin(CASTS))
     calls = resolve(calls, bindings, "target", "cast_to")
@@ -66,52 +69,58 @@ def candidates(facts: DataFrame) -> DataFrame:
         "first_line", "logical_end", no.alias("has_child"), no.alias("is_child"), no.alias("discarded"), no.alias("to_any"), F.col("text").alias("comment"),
     )
     same = Window.partitionBy("path", "kind", "scope", "norm", "host")
-    every = calls.unionByName(notes).withColumn("__size", F.count(F.lit(1)).over(same)).withColumn("__at", F.row_number().over(same.orderBy("node")) - 1)
+    own = ["path", "kind", "node", "line", "col", "end_line", "end_col", "scope", "norm", "host", "first_line", "logical_end"]
+    marks = resolve(facts.where("fact = 'decorator'"), bindings, "name", "callee").where(F.col("callee").isin(NO_CHECKS))
+    marks = marks.withColumn("kind", F.lit("no-type-check-decorator")).select(*own)
+    patches = resolve(facts.where("fact = 'patch'"), bindings, "name", "callee").where(F.col("callee").isin(PATCHES + PATCH_OBJECTS))
+    form = F.when(F.col("callee").isin(PATCH_OBJECTS), "patch.object").otherwise("patch")
+    given = (F.col("target") == "present") | (F.col("value_node") > F.when(form == "patch.object", 2).otherwise(1))
+    parts = (form, F.lit("|create="), F.col("text"), F.lit("|fidelity="), F.when(given, "present").otherwise("absent"), F.lit("|kwargs="), F.when(F.col("discarded"), "present").otherwise("absent"))
+    patches = patches.withColumn("kind", F.lit("mock-patch-call")).withColumn("norm", F.concat(*parts))
+    patches = patches.select(*own, (F.col("text") == "true").alias("create"), (given | F.col("discarded")).alias("decided"))
+    every = calls.unionByName(notes).unionByName(marks, allowMissingColumns=True).unionByName(patches, allowMissingColumns=True)
+    every = every.withColumn("__size", F.count(F.lit(1)).over(same)).withColumn("__at", F.row_number().over(same.orderBy("node")) - 1)
     return every.withColumn("dup", F.when(F.col("__size") == 1, "").otherwise(F.format_string("dup:%d:%d", "__size", "__at"))).drop("__size", "__at")
 
 
-def accepts(codes: Column, code: str) -> Column:
-    named = F.array_contains(codes, code)
-    return named if code in _SCOPED else (F.size(codes) == 0) | named
+def without_evidence(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows (with code and exempt) no accepted SAFETY comment covers: one range anti-join on the logical line such a comment ends.
 
-
-def without_evidence(rows: DataFrame, facts: DataFrame, code: str) -> DataFrame:
-    """Rows no accepted SAFETY comment covers: a range anti-join on the logical line such a comment ends."""
-    notes = facts.where("fact = 'comment'").select(F.col("path").alias("ep"), F.col("logical_end").alias("key"), D.safety_codes(F.col("text")).alias("codes"), "comment_only")
-    notes = notes.where(F.col("codes").isNotNull() & accepts(F.col("codes"), code)).drop("codes").withColumnRenamed("comment_only", "__only")
-    if code == "TW007":
-        notes = notes.where("__only")
-    low = F.col("line") - 1 if code == "TW007" else F.col("first_line")
-    high = F.col("line") - 1 if code == "TW007" else F.col("logical_end")
-    return rows.join(notes, (F.col("path") == F.col("ep")) & F.col("key").between(low, high), "left_anti")
+    Exempt rows stay whatever comments say. A checker-disable comment is covered by the line above it alone.
+    """
+    notes = facts.where("fact = 'comment'").select(F.col("path").alias("ep"), F.col("logical_end").alias("key"), D.safety_codes(F.col("text")).alias("codes"), F.col("comment_only").alias("__only"))
+    notes = notes.where(F.col("codes").isNotNull())
+    above = F.col("code") == "TW007"
+    low = F.when(above, F.col("line") - 1).otherwise(F.col("first_line"))
+    high = F.when(above, F.col("line") - 1).otherwise(F.col("logical_end"))
+    named = F.array_contains(F.col("codes"), F.col("code"))
+    accepted = named | (~F.col("code").isin(_SCOPED) & (F.size("codes") == 0))
+    covers = (F.col("path") == F.col("ep")) & F.col("key").between(low, high) & accepted & (~above | F.col("__only")) & ~F.col("exempt")
+    return rows.join(notes, covers, "left_anti")
 
 
 def findings(facts: DataFrame, select: set[str] | None = None, ignore: set[str] = frozenset(), prefix: str = "tw-fp-2") -> DataFrame:
-    """code, path, line, col, end_line, end_col, message, fingerprint of every rule that runs and is built."""
-    every = candidates(facts)
-    casts = every.where("kind = 'cast-call'")
-    valid = D.ignore_codes_valid(F.col("comment"))
-    notes = every.where("kind = 'type-ignore-comment'")
-    found = {
-        "TW001": lambda: casts.where("has_child and not is_child"),
-        "TW002": lambda: without_evidence(casts.where("not is_child"), facts, "TW002"),
-        "TW003": lambda: without_evidence(notes.where(valid), facts, "TW003").unionByName(notes.where(~valid)),
-        "TW005": lambda: without_evidence(casts.where("to_any"), facts, "TW005"),
-        "TW006": lambda: without_evidence(casts.where("discarded and not is_child"), facts, "TW006"),
-        "TW007": lambda: without_evidence(every.where("kind = 'checker-disable-comment'"), facts, "TW007"),
-    }
-    message, out = {r[0]: r[1] for r in RULES}, None
-    for code in active(select, ignore):
-        if code not in BUILT:
-            continue
-        rows = found[code]().select(
-            F.lit(code).alias("code"), "path", "line", "col", "end_line", "end_col", F.lit(message[code]).alias("message"),
-            fingerprint(prefix, F.lit(code), *[F.col(c) for c in ("path", "kind", "scope", "norm", "host", "dup")]).alias("fingerprint"),
-        )
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
+    """code, path, line, col, end_line, end_col, message, fingerprint of every rule that runs and is built.
+
+    Candidates are made once; each carries the codes whose predicate it meets, and one anti-join judges all of them.
+    """
+    is_kind = lambda k: F.col("kind") == k
+    cast, outer = is_kind("cast-call"), is_kind("cast-call") & ~F.col("is_child")
+    meets = {
+        "TW001": outer & F.col("has_child"), "TW002": outer, "TW003": is_kind("type-ignore-comment"), "TW005": cast & F.col("to_any"), "TW006": outer & F.col("discarded"),
+        "TW007": is_kind("checker-disable-comment"), "TW008": is_kind("no-type-check-decorator"), "TW009": F.col("create"), "TW012": ~F.col("decided"),
+    }
+    codes = [c for c in active(select, ignore) if c in BUILT]
+    if not codes:
         raise ValueError("no rule is selected that is built")
-    return out
+    rows = candidates(facts).withColumn("code", F.explode(F.array_compact(F.array(*[F.when(meets[c], c) for c in codes]))))
+    invalid = (F.col("code") == "TW003") & ~D.ignore_codes_valid(F.col("comment"))
+    rows = without_evidence(rows.withColumn("exempt", (F.col("code") == "TW001") | invalid), facts)
+    message = F.element_at(F.create_map(*[F.lit(x) for r in RULES for x in r[:2]]), F.col("code"))
+    return rows.select(
+        "code", "path", "line", "col", "end_line", "end_col", message.alias("message"),
+        fingerprint(prefix, *[F.col(c) for c in ("code", "path", "kind", "scope", "norm", "host", "dup")]).alias("fingerprint"),
+    )
 
 
 def on_changed_lines(rows: DataFrame, changed: DataFrame) -> DataFrame:

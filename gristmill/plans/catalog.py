@@ -24,7 +24,7 @@ CODES = [r[0] for r in RULES]
 DEFAULT = [r[0] for r in RULES if r[2]]
 SUPPRESSIBLE = [r[0] for r in RULES if r[3]]
 #: Rules this package has a query for so far.
-BUILT = ["TW001", "TW002", "TW003", "TW005", "TW006", "TW007"]
+BUILT = ["TW001", "TW002", "TW003", "TW005", "TW006", "TW007", "TW008", "TW009", "TW012"]
 
 
 def rules(spark: SparkSession) -> DataFrame:

@@ -23,12 +23,24 @@ TEMPLATES = [
 CODES_SQL = "SELECT * FROM (VALUES (0, 'TW002', 3), (1, 'TW003', 1), (3, 'TW001', 3), (3, 'TW002', 3)) AS v(m, code, line)"
 
 
+#: Module for c_custkey % 6: bare decorator, created patch, undecided patch, explained patch, decided patch, shadowed patch.
+TEST_TEMPLATES = [
+    "from typing import no_type_check\n\n@no_type_check\ndef f{k}():\n    pass\n",
+    "from unittest.mock import patch as p\n\np({k}, create=True)\n",
+    "from unittest import mock\n\nmock.patch({k})\nmock.patch.dict({k})\n",
+    "import unittest.mock as um\n\n# SAFETY: reviewed by hand\num.patch.object(x, {k}, create=True)\n",
+    "import unittest.mock\n\nunittest.mock.patch.object(x, {k}, y)\n",
+    "from unittest.mock import patch\n\ndef f(patch):\n    patch({k}, create=True)\n",
+]
+
+
+def _modules(keys: DataFrame, key: str, templates: list[str]) -> DataFrame:
+    text = F.element_at(F.array(*[F.lit(t) for t in templates]), (F.col(key) % len(templates)).cast("int") + 1)
+    return keys.select(F.concat(F.lit("pkg/m"), F.col(key), F.lit(".py")).alias("path"), F.replace(text, F.lit("{k}"), F.col(key).cast("string")).alias("text"))
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
-    text = F.element_at(F.array(*[F.lit(t) for t in TEMPLATES]), (F.col("o_orderkey") % 5).cast("int") + 1)
-    return orders.select(
-        F.concat(F.lit("pkg/m"), F.col("o_orderkey"), F.lit(".py")).alias("path"), F.replace(text, F.lit("{k}"), F.col("o_orderkey").cast("string")).alias("text")
-    )
+    return _modules(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), "o_orderkey", TEMPLATES)
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +51,13 @@ def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _findings(spark, sf_dir).select("code", "path", F.col("line").cast("long").alias("line"), "fingerprint")
 
 
+def audit_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decorator and patch rules, one of them off by default."""
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    rows = O.findings(facts(_modules(keys, "c_custkey", TEST_TEMPLATES)), select={"TW008", "TW009", "TW012"})
+    return rows.select("code", "path", F.col("line").cast("long").alias("line"), "fingerprint")
+
+
 def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.count_by_rule(_findings(spark, sf_dir))
 
@@ -76,7 +95,7 @@ WITH found AS (SELECT 'pkg/m' || o_orderkey || '.py' AS path, o_orderkey AS k, m
 _CAST = "'NAME:cast OP:( NAME:int OP:, NUMBER:' || k || ' OP:)'"
 _NESTED = "'NAME:cast OP:( NAME:int OP:, NAME:cast OP:( NAME:str OP:, NUMBER:' || k || ' OP:) OP:)'"
 
-QUERIES = {f.__name__: f for f in (audit_findings, audit_counts, audit_changed_lines, baseline_rest, line_counts)}
+QUERIES = {f.__name__: f for f in (audit_findings, audit_tests, audit_counts, audit_changed_lines, baseline_rest, line_counts)}
 SQL = {
     "audit_findings": _FOUND + f"""
 SELECT code, path, line::BIGINT AS line, substr(sha256('tw-fp-2|' || code || '|' || path || '|' || CASE
@@ -84,6 +103,13 @@ SELECT code, path, line::BIGINT AS line, substr(sha256('tw-fp-2|' || code || '|'
   WHEN m = 0 THEN 'cast-call|module|' || {_CAST} || '|NAME:value OP:= ' || {_CAST} || '|'
   ELSE 'cast-call|module|' || {_NESTED} || '|NAME:value OP:= ' || {_NESTED} || '|' END), 1, 16) AS fingerprint
 FROM found""",
+    "audit_tests": """
+SELECT code, path, line, substr(sha256('tw-fp-2|' || code || '|' || path || '|' || material || '|'), 1, 16) AS fingerprint
+FROM (SELECT 'pkg/m' || c_custkey || '.py' AS path, 3::BIGINT AS line, unnest(CASE c_custkey % 6 WHEN 0 THEN ['TW008'] WHEN 1 THEN ['TW009', 'TW012'] WHEN 2 THEN ['TW012'] ELSE [] END) AS code,
+      CASE c_custkey % 6 WHEN 0 THEN 'no-type-check-decorator|module|no_type_check|function|f' || c_custkey || '|OP:@ NAME:no_type_check'
+        WHEN 1 THEN 'mock-patch-call|module|patch|create=true|fidelity=absent|kwargs=absent|NAME:p OP:( NUMBER:' || c_custkey || ' OP:, NAME:create OP:= NAME:True OP:)'
+        ELSE 'mock-patch-call|module|patch|create=absent|fidelity=absent|kwargs=absent|NAME:mock OP:. NAME:patch OP:( NUMBER:' || c_custkey || ' OP:)' END AS material
+      FROM customer)""",
     "audit_counts": _FOUND + "SELECT code, count(*) AS findings, count(DISTINCT path) AS files FROM found GROUP BY code",
     "audit_changed_lines": _FOUND + """
 SELECT code, path, line::BIGINT AS line FROM found

@@ -1,7 +1,8 @@
 """Python sources to fact rows: the one place where files are lexed and parsed.
 
-``facts`` gives one tagged row a fact: comments, cast-like calls, imports and other bindings, and an
-error row for a file that cannot be read. Files never fail a task. Everything later is relational.
+``facts`` gives one tagged row a fact: comments, cast-like calls, imports and other bindings, decorators,
+calls that may be patches (text: literal create, target: a fidelity keyword, value_node: positional
+arguments, discarded: a splat), and an error row for a file that cannot be read. Files never fail a task. Everything later is relational.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ COLUMNS = (
     "fact string, line int, col int, end_line int, end_col int, text string, comment_only boolean, first_line int, logical_start int, "
     "logical_end int, scope string, name string, target string, node int, value_node int, discarded boolean, norm string, host string"
 )
+#: Keywords that decide what a patch stands in for, and patch methods that are no patch calls.
+FIDELITY = {"autospec", "spec", "spec_set", "new", "new_callable", "wraps"}
+NOT_PATCH = {"dict", "multiple", "stopall"}
 NAMES = [c.split(" ")[0] for c in COLUMNS.split(", ")]
 KINDS = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
 _SKIP = {tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.COMMENT, tokenize.ENCODING, tokenize.ENDMARKER}
@@ -93,6 +97,16 @@ def file_facts(source: str | None) -> list[dict]:
         node.number = counter = counter + 1
         stack += reversed(list(ast.iter_child_nodes(node)))
 
+    # what can only be named after an import that mentions it is not looked for elsewhere
+    marked, patched = "no_type_check" in text, "mock" in text
+
+    def span(node: ast.expr) -> dict:
+        """Range, evidence lines and logical line of an expression."""
+        return {
+            "line": node.lineno, "col": char(node.lineno, node.col_offset), "end_line": node.end_lineno, "end_col": char(node.end_lineno, node.end_col_offset),
+            "node": node.number, "first_line": run_start(node.lineno), "logical_end": bounds.get(node.end_lineno, (0, node.end_lineno))[1], "host": logical(node.lineno),
+        }
+
     def visit(node: ast.AST, scope: str, stmt: ast.stmt | None) -> None:
         stmt = node if isinstance(node, ast.stmt) else stmt
         bind = lambda name, target, n: facts.append({"fact": "binding", "scope": scope, "name": name, "target": target, "line": n.lineno, "col": n.col_offset})
@@ -109,6 +123,22 @@ def file_facts(source: str | None) -> list[dict]:
         elif isinstance(node, ast.arg):
             bind(node.arg, None, node)
         inner = scope
+        if marked and isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            of = "class" if isinstance(node, ast.ClassDef) else "function"
+            for d in node.decorator_list:
+                dotted = _dotted(d)
+                if dotted and dotted.count(".") < 2:
+                    written = "no_type_check" if "." not in dotted else dotted if dotted.endswith(".no_type_check") else "no_type_check:unknown"
+                    facts.append({"fact": "decorator", "scope": scope, "name": dotted, "norm": f"{written}|{of}|{node.name}", **span(d)})
+        if patched and isinstance(node, ast.Call) and (dotted := _dotted(node.func)) and dotted.split(".")[-1] not in NOT_PATCH:
+            create = any(k.arg == "create" and isinstance(k.value, ast.Constant) and k.value.value is True for k in node.keywords)
+            decided = any(k.arg in FIDELITY for k in node.keywords)
+            facts.append(
+                {
+                    "fact": "patch", "scope": scope, "name": dotted, "text": "true" if create else "absent", "target": "present" if decided else "absent",
+                    "value_node": len(node.args), "discarded": any(k.arg is None for k in node.keywords), **span(node),
+                }
+            )
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             bind(node.name, None, node)
             kind = "class" if isinstance(node, ast.ClassDef) else "fn"

@@ -34,6 +34,15 @@ def test_evidence_scopes_and_shadowing(spark):
     assert [r[:2] for r in audit(spark, {"a.py": text})] == [("TW002", 4), ("TW005", 4)]
 
 
+def test_decorators_and_patches(spark):
+    text = (
+        "import typing, mock\nfrom unittest.mock import patch\n@typing.no_type_check\nclass A:\n    # SAFETY: known case\n    @typing.no_type_check\n    def f(self): pass\n"
+        "@patch('a', **k)\n@mock.patch.object(x, 'b', create=1)\n@patch('c', new=3, create=True)\ndef g(): pass\npatch.multiple(x, create=True)\n"
+    )
+    rows = audit(spark, {"a.py": text}, select={"TW008", "TW009", "TW012"})
+    assert [r[:3] for r in rows] == [("TW008", 3, 1), ("TW009", 10, 1), ("TW012", 9, 1)]
+
+
 def test_unreadable_files_are_errors(spark):
     rows = facts(spark.createDataFrame([("a.py", "def (:\n"), ("b.py", "x\0"), ("c.py", None), ("d.py", "")], "path string, text string"))
     assert sorted((r.path, r.name) for r in rows.where("fact = 'error'").collect()) == [("a.py", "parse"), ("b.py", "encode")]
@@ -67,7 +76,7 @@ def test_baseline_is_a_multiset(spark):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_match_sql(spark, name):
     db = duckdb.connect()
-    for table in ("orders", "lineitem", "events", "documents"):
+    for table in ("orders", "lineitem", "events", "documents", "customer"):
         path = f"{SF}/{table}.parquet"
         db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{_glob(path)}'")
     want = db.sql(queries.SQL[name])
