@@ -2,8 +2,8 @@
 
 Lines are normalised (white space runs to one blank, lower case) and hashed; for each host the distinct
 documents that hold a line are counted, exact copies of a text being one document (copies are for the
-dedup operators to judge). Lines in more than ``max_documents`` documents of a host are removed; a
-document of which less than ``min_left`` of its words, or fewer than ``min_words`` words, is left is
+dedup operators to judge). Lines in more than ``max_documents`` documents and more than ``max_percent`` of
+the documents of a host are removed, so a limit grows with its host; a document of which less than ``min_left`` of its words, or fewer than ``min_words`` words, is left is
 depleted and rejected.
 
 One pass over the texts makes a narrow table (counts and line hashes) in the shared folder; counting
@@ -31,8 +31,9 @@ from .common import settle, table, utf8
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
-#: Documents of a host that may hold a line.
-MAX_DOCUMENTS = 100
+#: Documents of a host that may hold a line: so many of each hundred, and so many of however few.
+MAX_PERCENT = 1
+MAX_DOCUMENTS = 5
 #: Part of its words that must be left of a document.
 MIN_LEFT = 0.2
 
@@ -116,11 +117,13 @@ def measured(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _removals(docs: DataFrame, max_documents: int) -> DataFrame:
+def _removals(docs: DataFrame, max_documents: int, max_percent: int) -> DataFrame:
     """rid, line, words of every line (of a text, once) that goes."""
+    hosts = docs.select("host", "th").distinct().groupBy(F.col("host").alias("h")).agg(F.count(F.lit(1)).alias("of"))
     pairs = docs.select("host", "th", F.explode("lines").alias("line")).distinct()
     common = pairs.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_documents)
-    common = common.select(F.col("host").alias("h"), F.col("line").alias("l"))
+    common = common.join(hosts, F.col("host").eqNullSafe(F.col("h")) & (F.col("n") * 100 > F.col("of") * max_percent))
+    common = common.select("h", F.col("line").alias("l"))
     lines = docs.select("rid", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("x"))
     lines = lines.select("rid", "host", F.col("x.lines").alias("line"), F.col("x.sizes").alias("words"))
     return lines.join(common, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")), "left_semi")
@@ -128,12 +131,12 @@ def _removals(docs: DataFrame, max_documents: int) -> DataFrame:
 
 def judge(
     df: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", max_documents: int = MAX_DOCUMENTS,
-    min_left: float = MIN_LEFT, min_words: int = MIN_WORDS,
+    max_percent: int = MAX_PERCENT, min_left: float = MIN_LEFT, min_words: int = MIN_WORDS,
 ) -> DataFrame:
     """key, the counts, base_failed, n_removed_words, kept."""
     docs = measured(df, key, text, host).withColumn("rid", F.monotonically_increasing_id())
     docs = settle(docs, "quality")  # ids of rows must not change between the uses below
-    removed = _removals(docs, max_documents).groupBy("rid").agg(F.sum("words").alias("removed"))
+    removed = _removals(docs, max_documents, max_percent).groupBy("rid").agg(F.sum("words").alias("removed"))
     rows = docs.drop("lines", "sizes").join(removed, "rid", "left").withColumn("removed", F.coalesce("removed", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     left = F.col("n_words") - F.col("removed")
@@ -144,10 +147,10 @@ def judge(
     )
 
 
-def clean(df: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+def clean(df: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", max_documents: int = MAX_DOCUMENTS, max_percent: int = MAX_PERCENT) -> DataFrame:
     """df with lines above the limit taken out of the text; texts without such lines stay as they are, to the byte."""
     docs = settle(measured(df, key, text, host).withColumn("rid", F.monotonically_increasing_id()), "quality")
-    gone = _removals(docs, max_documents).groupBy("rid").agg(F.collect_list("line").alias("lines"))  # of one text each
+    gone = _removals(docs, max_documents, max_percent).groupBy("rid").agg(F.collect_list("line").alias("lines"))  # of one text each
     gone = gone.join(docs.select("rid", "host", "th"), "rid").groupBy("host", "th").agg(F.first("lines").alias("__gone"))
     gone = gone.select(F.col("host").alias("__host"), F.col("th").alias("__of"), "__gone")
 

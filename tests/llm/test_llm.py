@@ -65,6 +65,16 @@ def test_quality(spark, docs, none):
     assert sorted(map(str, quality.clean(docs).collect())) == sorted(map(str, docs.collect())) and quality.clean(none).count() == 0
 
 
+def test_quality_limit_follows_the_host(spark):
+    line, few = "home news sport weather contact us about this site", "read more of what others wrote about this page"
+    texts = [(f"{line}\npage {i}", h) for h, n in (("small", 15), (None, 15), ("large", 60)) for i in range(n)]
+    texts += [(f"{few}\nleaf {i}", "large") for i in range(12)]  # below the share of a large host
+    texts += [(f"plain {h} words {i}", h) for h, n in (("small", 25), (None, 25), ("large", 1428)) for i in range(n)]
+    rows = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(texts)], "doc_id long, text string, source string")
+    gone = {r.doc_id: r.n_removed_words for r in quality.judge(rows).collect()}
+    assert gone == {i: 9 * t.startswith(line) for i, (t, _) in enumerate(texts)}
+
+
 def test_codes_and_token_files(spark, docs, none, tmp_path):
     ids = np.array([RNG.choice([RNG.randrange(256), RNG.randrange(50_000), RNG.randrange(2**32)]) for _ in range(1500)], np.uint32)
     codes = tokens.Codes(tokens.build(ids))
