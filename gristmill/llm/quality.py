@@ -1,14 +1,15 @@
 """Quality rules: counts of a text's own repetition, and cross-document line frequency.
 
 Lines are normalised (white space runs to one blank, lower case) and hashed; for each host the distinct
-documents that hold a line are counted, exact copies of a text being one document (copies are for the
-dedup operators to judge). Lines in more than ``max_documents`` documents and more than ``max_percent`` of
-the documents of a host are removed, so a limit grows with its host; a document of which less than ``min_left`` of its words, or fewer than ``min_words`` words, is left is
-depleted and rejected.
+documents that hold a line are counted; rows of one key and one text are one document. Lines in more than
+``max_documents`` documents and more than ``max_percent`` of the documents of a host are removed, so a
+limit grows with its host; a document of which less than ``min_left`` of its words, or fewer than
+``min_words`` words, is left is depleted and rejected.
 
-One pass over the texts makes a narrow table (counts and line hashes) in the shared folder; counting
-shuffles (host, line, text) hashes, partially aggregated, so neither a hot host nor a hot line meets in
-one task; lines are looked up again by a join that adaptive execution splits where a line is hot.
+One pass over the texts makes a narrow table (counts and line hashes) in the shared folder; each distinct
+text of a host stands for its documents with their number, so copies shuffle no lines, and counting
+shuffles (host, line) hashes, partially aggregated, so neither a hot host nor a hot line meets in one
+task; lines are looked up again by a join that adaptive execution splits where a line is hot.
 
 Nulls: a null text has no words and fails the base rules; null hosts are one host. Repeated rows count as
 one document and get a row each. Lines without a word are never counted. An empty table gives an empty
@@ -119,9 +120,12 @@ def measured(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
 
 def _removals(docs: DataFrame, max_documents: int, max_percent: int) -> DataFrame:
     """rid, line, words of every line (of a text, once) that goes."""
-    hosts = docs.select("host", "th").distinct().groupBy(F.col("host").alias("h")).agg(F.count(F.lit(1)).alias("of"))
-    pairs = docs.select("host", "th", F.explode("lines").alias("line")).distinct()
-    common = pairs.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_documents)
+    texts = docs.groupBy("host", "th", "k").agg(F.min("rid").alias("rid"))  # a document a row
+    texts = texts.groupBy("host", "th").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("copies"))
+    hosts = texts.groupBy(F.col("host").alias("h")).agg(F.sum("copies").alias("of"))
+    pairs = docs.select("rid", "host", "lines").join(texts.select("first", "copies"), F.col("rid") == F.col("first"))
+    pairs = pairs.select("host", F.explode("lines").alias("line"), "copies")
+    common = pairs.groupBy("host", "line").agg(F.sum("copies").alias("n")).where(F.col("n") > max_documents)
     common = common.join(hosts, F.col("host").eqNullSafe(F.col("h")) & (F.col("n") * 100 > F.col("of") * max_percent))
     common = common.select("h", F.col("line").alias("l"))
     lines = docs.select("rid", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("x"))

@@ -75,6 +75,15 @@ def test_quality_limit_follows_the_host(spark):
     assert gone == {i: 9 * t.startswith(line) for i, (t, _) in enumerate(texts)}
 
 
+def test_quality_counts_documents_not_texts(spark):
+    page, alone = "a page that many addresses of this host give back to the byte", "a page of one address that was fetched again and again"
+    texts = [(i, page, h) for h in ("h", None) for i in range(30)] + [(None, alone, "h")] * 15 + [(99, alone, "h")] * 15
+    texts += [(100 + i, f"{page}\nwith words of its own number {i} that are only here", "other") for i in range(4)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    got = quality.judge(rows).collect()
+    assert sorted((r.doc_id or -1, r.n_removed_words, r.kept) for r in got) == sorted((i or -1, 13 * (t == page), t != page) for i, t, _ in texts)
+
+
 def test_codes_and_token_files(spark, docs, none, tmp_path):
     ids = np.array([RNG.choice([RNG.randrange(256), RNG.randrange(50_000), RNG.randrange(2**32)]) for _ in range(1500)], np.uint32)
     codes = tokens.Codes(tokens.build(ids))
