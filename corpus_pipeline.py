@@ -27,10 +27,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold windows of benchmark items."""
+    """Drop documents that hold windows of benchmark items, those without an id too."""
     keep = [c for c in docs.columns if c != "doc_id"]
     found = decontaminate.scan(docs.select("doc_id", *keep), table(spark, sf_dir, "benchmark"), keep=keep)
-    return found.where(F.size("items") < 1).select(*docs.columns)
+    return found.where("n_hit < 1").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

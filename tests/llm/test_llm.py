@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from gristmill.llm import decontaminate, licenses, mixing, quality, shards, simhash, suffixes, tokens, toxicity, warc
 from gristmill.llm.graph import components
 
@@ -219,6 +220,13 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.scan(none, bench).count() == 0 and decontaminate.scan(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_pipeline_drops_passages_of_items_without_id(spark, tmp_path):
+    items = [(1, "one two three four five six seven eight nine"), (None, "red green blue black white pink brown grey gold")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = spark.createDataFrame([(1, f"so {items[0][1]} it is"), (2, f"and {items[1][1]} too"), (3, "red green blue"), (4, None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_contaminated(spark, rows, str(tmp_path)).collect()) == [3, 4]
+
+
 def test_toxicity(spark, docs, none):
     texts = [f"some plain words number {i} in a text that is fine" + (" you idiot clown" if i % 3 == 0 else "") for i in range(300)]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
