@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import decontaminate, mixing, shards, simhash, toxicity
+from gristmill.llm import decontaminate, mixing, shards, similar, toxicity
 from gristmill.llm.common import settle, table
 
 
@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that with the smallest id, of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """Keep one document, that with the smallest id, of each group of texts with 0.8 or more of their 5-word shingles in common."""
+    return similar.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -244,6 +244,11 @@ def keep_one(df: DataFrame, *, key: str = "doc_id", text: str = "text", limit: i
     Rows are told apart by key and text, so documents that share a key, or have none, keep their own groups.
     """
     docs, codes = _rooted(df, key, text, limit, GROUP_ROWS)
+    return first_of_groups(df, docs, codes, key, text)
+
+
+def first_of_groups(df: DataFrame, docs: DataFrame, codes: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of df that keep_one keeps; docs: key, th, code of every row, codes: code, root of every code."""
     best = docs.groupBy("code").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "th")).alias("best"))
     best = best.join(codes.select("code", "root"), "code").groupBy("root").agg(F.min("best").alias("best"))
     best = best.select(F.col("best.id").alias("__id"), F.col("best.th").alias("__best"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from gristmill.llm import decontaminate, licenses, mixing, quality, shards, simhash, suffixes, tokens, toxicity, warc
+from gristmill.llm import decontaminate, licenses, mixing, quality, shards, similar, simhash, suffixes, tokens, toxicity, warc
 from gristmill.llm.graph import components
 
 RNG = random.Random(3)
@@ -152,6 +152,33 @@ def test_simhash(spark, docs, none):
     assert sorted(map(tuple, kept), key=str) == sorted({*rows} - {rows[0]}, key=str)
 
 
+def test_pipeline_keeps_one_of_texts_similar_by_five_words(spark):
+    rng = random.Random(5)
+    texts, hosts = [None, "", " \n", "one two", "One  two", "one two three"], " ".join(f"menu{i}" for i in range(30))
+    for k in range(40):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([40, 120, 300]))]
+        texts += [" ".join(words)] * (k % 3) + [f"{hosts} {' '.join(words)}"]
+        for _ in range(12 if k < 3 else rng.randrange(3)):  # replaced words: similarity of 0.6 to 1
+            copy = list(words)
+            for _ in range(rng.randrange(1, 1 + len(copy) // 25)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(9)}"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    sets = [set(similar.shingles(similar.line_of(t)).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    between = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 80 * len(a | b):
+                between += 100 * len(a & b) < 95 * len(a | b)
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert between > 20
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, rows, "").collect()) == sorted(set(root))
+    assert corpus_pipeline.drop_near_duplicates(spark, rows.limit(0), "").count() == 0
+
+
 def test_suffixes(spark, none, monkeypatch):
     parts = ["".join(RNG.choice("abcdefgh ") for _ in range(n)) for n in (60, 45, 120)]
     texts = []
