@@ -109,12 +109,33 @@ def test_codes_and_token_files(spark, docs, none, tmp_path):
     assert tokens.read_tokens(spark, str(tmp_path / "e")).count() == 0
 
 
-def test_encoder_by_word_is_exact():
+def test_encoder_by_word_is_exact(monkeypatch):
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    texts = ["It's A test, of İstanbul... naïve 12ab <|endoftext|>x  ́a", "ÀÉ ,. don't'll x y z w", ""]
-    assert tokens.Encoder(path, True).encode(texts) == tokens.Encoder(path, False).encode(texts)
+    signs = "abcXYZ019 .,;'-  \n\t\x0b\x0céÉßÿ×÷İıŉſǅȿɐµªº\u00a0\u0301日本😀<|>"
+    texts = ["It's A test, of İstanbul... naïve 12ab <|endoftext|>x  ́a", "ÀÉ ,. don't'll x y z w", "", *("".join(RNG.choices(signs, k=60)) for _ in range(300))]
+    split, whole = tokens.Encoder(path, True), tokens.Encoder(path, False)
+    for size in (300_000, 50):  # with and without forgetting
+        monkeypatch.setattr(tokens, "CACHE_WORDS", size)
+        for i in range(0, len(texts), 100):
+            for got, want in zip(split.encode(texts[i : i + 100]), whole.encode(texts[i : i + 100]), strict=True):
+                assert got.tolist() == want.tolist()
+
+
+def test_token_files_of_long_texts_and_text_ids(spark, tmp_path, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 100)  # every text is long
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [("b", "one two three " * 50), ("a:1", ""), (None, None), ("a:1", "x" * 300 + " y"), (None, "end\nof\tit " * 30), ("é", " \n")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "name string, text string, k int")
+    tokens.write_tokens(df, str(tmp_path / "t"), path, key="name", file_ids=40)
+    got = sorted(tokens.read_tokens(spark, str(tmp_path / "t"), key="name", key_type="string").collect(), key=lambda r: r.start)
+    whole = tokens.Encoder(path, False)
+    want = sorted(((k or "", len(i := whole.encode([t or ""])[0].tolist()) + 1, zlib.crc32(np.array([*i, 1], "<u4").tobytes())) for k, t in rows))
+    assert sorted((r.name or "", r.n_tokens, r.ids_crc32) for r in got) == want and [r.name for r in got] == [None, None, "a:1", "a:1", "b", "é"]
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
 
 
 def test_simhash(spark, docs, none):
