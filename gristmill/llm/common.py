@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import sys
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,13 +44,17 @@ def worker_cache(name: str) -> dict:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share. The cluster names it; only a session without one gets ours."""
+    """The folder that driver and executors share: the session's, or, in local mode only, one of this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = own.get() if own.isDefined() else "/tmp/gristmill-checkpoints"
-        if not own.isDefined():
-            spark.sparkContext.setCheckpointDir(root)
+    if root:
+        return root
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        return own.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    root = f"{tempfile.gettempdir()}/gristmill-checkpoints"
+    spark.sparkContext.setCheckpointDir(root)
     return root
 
 
@@ -83,4 +89,34 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that ``settle`` wrote, once all that was made of them is settled itself."""
+    for t in tables:
+        remove(t.sparkSession, t._settled_at)
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A name like the one wanted that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one, so that they meet no others of their names on the way."""
+    return F.struct(*[quoted(c) for c in df.columns])
+
+
+def unpacked(row: str, names: list[str]) -> list[Column]:
+    return [F.col(row).getField(c).alias(c) for c in names]

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import forget, settle
 
+#: Rounds follow the logarithm of a component's length; so many are never needed below 2**60 nodes.
 MAX_ROUNDS = 60
 
 
@@ -33,7 +34,8 @@ def components(links: DataFrame) -> DataFrame:
     links = settle(_small_star(links.where("u <> v")), "links")
     before = None
     for _ in range(MAX_ROUNDS):
-        links = settle(_small_star(_large_star(links)), "links")
+        last, links = links, settle(_small_star(_large_star(links)), "links")
+        forget(last)
         state = tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -231,11 +231,35 @@ def test_licenses(docs, none):
 
 
 def test_diagonals_bridge_an_inserted_word(spark):
-    text = "x y " + licenses.TEMPLATES["bsd"][0].replace("source and", "source code and").upper() + " z"
+    text = "x y " + licenses.TEMPLATES["bsd"][-1].replace("source and", "source code and").upper() + " z"
     r = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert r.labels == "bsd" and r.n_base == 0 and 0.75 <= r.score <= 1 and r.spans[0].first_word == 2
 
 
+def test_licenses_against_brute_force(spark):
+    templates = {"a": ["one two three four five six seven eight", "six seven one two three"], "b": [" ".join(f"w{i}" for i in range(40))], "c": ["one one one one two"]}
+    phrases = {"one two three": "a", "two one": "d", "seven": "e"}
+    vocabulary = ["one", "two", "Three", "four", "FIVE", "six", "seven", "eight", "w1", "é"]
+    texts = [" ,".join(RNG.choices(vocabulary[: RNG.choice([2, 10])], k=RNG.randrange(60))) for _ in range(150)]
+    for text in templates["a"] + templates["b"] * 20:
+        words = text.split()
+        for _ in range(8):
+            k = RNG.randrange(len(words))
+            words[k:k] = RNG.choices(vocabulary, k=RNG.choice([0, 1, 4, 5]))
+            del words[RNG.randrange(len(words))]
+        texts.append(" ".join(RNG.choices(vocabulary, k=5) + words))
+    texts += [None, "", "ONE-two\x00three", "K one two three İ", "one two three " * 500]
+    rows = spark.createDataFrame([(i, t, 0, "") for i, t in enumerate(texts)], "doc_id long, text string, words int, info string")
+    for merge in (0, 4):
+        got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in licenses.scan(rows, templates=templates, phrases=phrases, merge=merge).collect()}
+        assert [got[i] for i in range(len(texts))] == [licenses.brute_force(t, templates, phrases, merge=merge) for t in texts]
+
+
+def test_licenses_of_a_very_long_text(spark):
+    r = licenses.scan(spark.createDataFrame([(1, "released under the mit license now " * 300_000)], "doc_id long, text string")).first()
+    assert (r.n_words, r.n_base, r.labels, len(r.spans)) == (1_800_000, 300_000, "mit", 300_000)
+
+
 def test_warc(spark, none, tmp_path):
     html = ["<p>a</p>", "<p>a</p>", None, "", "é" * 30_000, "x\r\n\r\nWARC/1.1\r\n" * 1000, "<p>a</p>"]
     pages = spark.createDataFrame([(i, None if i == 2 else f"http://h/{i}", h, 1) for i, h in enumerate(html)], "page_id long, url string, html string, digest int")
