@@ -8,9 +8,12 @@ import re
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Java and RE2 both read this as "runs of anything but ASCII white space".
 WORD = r"[^\x20\x09-\x0D]+"
@@ -120,3 +123,17 @@ def whole_row(df: DataFrame) -> Column:
 
 def unpacked(row: str, names: list[str]) -> list[Column]:
     return [F.col(row).getField(c).alias(c) for c in names]
+
+
+def with_column(df: DataFrame, name: str, kind: T.DataType, make: Callable[[pa.RecordBatch], pa.Array], rows: int = 1000) -> DataFrame:
+    """df with one more column, made of so many rows at a time; columns stand in their places, for their names may be of any kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, rows):
+                batch = whole.slice(i, rows)
+                yield pa.RecordBatch.from_arrays([*batch.columns, make(batch)], names=[*batch.schema.names, "out"])
+
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    schema = T.StructType([*plain.schema.fields, T.StructField("out", kind)])
+    return plain.mapInArrow(run, schema).toDF(*df.columns, name)

@@ -2,8 +2,8 @@
 
 Fingerprints within four bits of each other agree on at least one of five bands, so every distinct
 fingerprint goes to five groups (one a band) and links are looked for inside groups. A group above
-``group_rows`` fingerprints is dealt once more by five bands of its other bits, which loses no link
-either. A task holds its groups as a forest: fingerprints sorted by Gray rank, upper nodes for the bit
+``group_rows`` fingerprints is cut by five bands of the bits outside its own, and so on until it is small,
+which loses no link either. A task holds its groups as a forest: fingerprints sorted by Gray rank, upper nodes for the bit
 patterns that neighbours share, eight more bits a level. Pairs of nodes walk down together, carrying the
 differences so far; a pair above the limit falls with all below it, and so does a pair whose leaves are
 connected already. Groups report one link from each member to the smallest of its component, never
@@ -11,13 +11,15 @@ all pairs; components over all groups follow by stars (see graph).
 
 Texts: A-Z lower-cased, words are runs of anything but ASCII white space, shingles of four words.
 Nulls and texts without words have fingerprint zero, linked like any other. A null id is never the
-smallest of a component unless there is none else. Repeated rows get a row each; ``keep_one`` leaves one.
-An empty table gives an empty result. Other columns are not looked at.
+smallest of a component unless there is none else. Repeated rows get a row each. Very long texts are hashed
+whole, 8 bytes a shingle at a time in memory. An empty table gives an empty result. Other columns are not
+looked at, whatever they are called. ``similar.keep_one`` leaves one text of each group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,34 +27,46 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, settle, table, utf8
+from .common import LOWER_TABLE, free_name, quoted, settle, table, utf8
 from .graph import components
 
 SHINGLE = 4
 SEED = 42
 LIMIT = 4
-#: Fingerprints in a group from which it is dealt once more.
+#: Fingerprints in a group from which it is cut further, and free bits from which it is not.
 GROUP_ROWS = 5_000
-#: (lowest bit, bits) of the bands.
-BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+LEAST_FREE = 16
 #: Node pairs held at once.
 PAIRS = 4_000_000
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    words = utf8(text).translate(LOWER_TABLE).split()
+def shingle_hashes(line: bytes, width: int) -> np.ndarray:
+    """XXH64 of every shingle of a normalised line, in order."""
+    words = line.split()
     if not words:
-        return 0
-    line = b" ".join(words)
-    n = max(1, len(words) - shingle + 1)
+        return np.empty(0, np.uint64)
+    n = max(1, len(words) - width + 1)
     ends = np.cumsum([len(w) + 1 for w in words]).tolist()
     starts, ends = [0, *ends[: n - 1]], ends[-n:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a : b - 1], SEED) for a, b in zip(starts, ends, strict=True)], ">u8")
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, 4096):
-        ones += np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+    return np.array([digest(line[a : b - 1], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes."""
+    ones, turned = np.zeros(64, np.int64), hashes.astype(">u8")
+    for i in range(0, len(turned), 4096):
+        ones += np.unpackbits(turned[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(turned)).tobytes(), "big")
+
+
+def line_of(text: str | None) -> bytes:
+    """A text's words in lower case with single blanks."""
+    return b" ".join(utf8(text).translate(LOWER_TABLE).split())
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(line_of(text), shingle))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -161,25 +175,44 @@ def group_links(keys: np.ndarray, codes: np.ndarray, limit: int = LIMIT) -> tupl
     return own[linked], least[linked]
 
 
-def _band_keys(code: Column, bands: tuple, salt: Column | None = None) -> Column:
-    keys = []
-    for k, (low, bits) in enumerate(bands):
-        value = F.shiftrightunsigned(code, low).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-        keys.append(F.xxhash64(F.lit(k), value, *([] if salt is None else [salt])))
-    return F.array(*keys)
+def cuts(fixed: int, parts: int) -> list[int]:
+    """Masks that part the bits outside fixed into so many bands."""
+    free = [k for k in range(64) if not fixed >> k & 1]
+    edges = [len(free) * i // parts for i in range(parts + 1)]
+    return [sum(1 << k for k in free[a:b]) for a, b in pairwise(edges)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def groups(codes: DataFrame, limit: int, group_rows: int) -> DataFrame:
+    """code, key: groups of which codes within limit bits share one. A group is all that agree on some bits.
+
+    Groups of more than group_rows are cut by the bits on which they do not agree yet, again and again, until
+    none is larger or LEAST_FREE bits are left, which bounds a group by itself: codes are distinct.
+    """
+    rows, done, fixed = codes.select("code", F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("fixed")), [], [0]
+    while True:
+        masks = F.create_map(*[x for f in fixed for x in (F.lit(_signed(f)).cast("long"), F.array(*[F.lit(_signed(m)).cast("long") for m in cuts(f, limit + 1)]))])
+        rows = rows.select("code", "key", "fixed", F.explode(F.element_at(masks, F.col("fixed"))).alias("mask"))
+        key = F.xxhash64("key", "mask", F.col("code").bitwiseAND(F.col("mask")))
+        rows = rows.select("code", key.alias("key"), F.col("fixed").bitwiseOR(F.col("mask")).alias("fixed"))
+        hot = rows.where(F.bit_count("fixed") < 64 - LEAST_FREE).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        hot = settle(hot.where(F.col("n") > group_rows).select("key"), "hot")
+        if hot.isEmpty():
+            break
+        done.append(rows.join(hot, "key", "left_anti").select("code", "key"))
+        rows = settle(rows.join(hot, "key", "left_semi").select("code", "key", "fixed"), "hot-rows")
+        fixed = sorted(r[0] % 2**64 for r in rows.select("fixed").distinct().collect())  # kinds of masks, not groups: (limit + 1) ** depth at most
+    for part in done:
+        rows = rows.select("code", "key").unionAll(part)
+    return rows.select("code", "key")
 
 
 def links(codes: DataFrame, *, limit: int = LIMIT, group_rows: int = GROUP_ROWS) -> DataFrame:
     """u, v between distinct fingerprints of the column ``code`` that connect all that are within limit bits."""
-    if limit >= len(BANDS):
-        raise ValueError(f"limit must be below {len(BANDS)}")
-    rows = codes.select("code", F.explode(_band_keys(F.col("code"), BANDS)).alias("key"))
-    hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_rows).select("key", F.lit(True).alias("hot"))
-    rows = rows.join(hot, "key", "left")
-    # a second cut by ten sixths of the bits: at most four differ, so one of five is equal
-    finer = ((0, 12), (12, 13), (25, 13), (38, 13), (51, 13))
-    again = F.when(F.col("hot"), _band_keys(F.col("code"), finer, F.col("key"))).otherwise(F.array("key"))
-    rows = rows.select("code", F.explode(again).alias("key")).repartition("key").sortWithinPartitions("key")
+    rows = groups(codes, limit, group_rows).repartition("key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -207,54 +240,44 @@ def links(codes: DataFrame, *, limit: int = LIMIT, group_rows: int = GROUP_ROWS)
 
 
 def fingerprints(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """key, th (MD5 of the text), code (a signed long) of every row."""
-    rows = df.select(F.col(key), F.col(text).alias("__t"), text_digest(text).alias("th"))
+    """k, code (a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(codes, np.uint64).view(np.int64))], names=[key, "th", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(codes, np.uint64).view(np.int64))], names=["k", "code"])
 
-    return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, th string, code long")
+    return df.select(quoted(key), quoted(text)).mapInArrow(run, f"k {df.schema[key].dataType.simpleString()}, code long")
 
 
 def text_digest(text: str) -> Column:
-    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-
-
-def _rooted(df: DataFrame, key: str, text: str, limit: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Fingerprints of all rows, and code, first (smallest key), root of every distinct one."""
-    docs = settle(fingerprints(df, key=key, text=text), "fingerprints")
-    codes = settle(docs.groupBy("code").agg(F.min(key).alias("first")), "codes")
-    roots = components(links(codes, limit=limit, group_rows=group_rows))
-    return docs, codes.join(roots, codes.code == roots.node, "left").select("code", "first", F.coalesce("root", "code").alias("root"))
+    return F.md5(F.coalesce(quoted(text), F.lit("")).cast("binary"))
 
 
 def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", limit: int = LIMIT, group_rows: int = GROUP_ROWS) -> DataFrame:
     """key, fingerprint (hex), component_id of every row."""
-    docs, codes = _rooted(df, key, text, limit, group_rows)
+    docs = settle(fingerprints(df, key=key, text=text), "fingerprints")
+    codes = settle(docs.groupBy("code").agg(F.min("k").alias("first")), "codes")
+    roots = components(links(codes, limit=limit, group_rows=group_rows))
+    codes = codes.join(roots, codes.code == roots.node, "left").select("code", "first", F.coalesce("root", "code").alias("root"))
     least = codes.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = codes.join(least, "root").select("code", "component_id")
-    return docs.join(classes, "code").select(key, F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
+    return docs.join(classes, "code").select(F.col("k").alias(key), F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, *, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """df with one row of each group of near-duplicates: that with the smallest key (null: last), then text digest; of equal rows, one.
+def first_of_groups(df: DataFrame, docs: DataFrame, codes: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of df with the smallest key (null: last), then text digest, of each group; of equal rows, one.
 
-    Rows are told apart by key and text, so documents that share a key, or have none, keep their own groups.
+    docs: k, th, code of every row; codes: code, root of every code. Rows are told apart by key and text, so
+    documents that share a key, or have none, keep their own groups.
     """
-    docs, codes = _rooted(df, key, text, limit, GROUP_ROWS)
-    return first_of_groups(df, docs, codes, key, text)
-
-
-def first_of_groups(df: DataFrame, docs: DataFrame, codes: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows of df that keep_one keeps; docs: key, th, code of every row, codes: code, root of every code."""
-    best = docs.groupBy("code").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "th")).alias("best"))
+    best = docs.groupBy("code").agg(F.min(F.struct(F.col("k").isNull().alias("none"), F.col("k").alias("id"), "th")).alias("best"))
     best = best.join(codes.select("code", "root"), "code").groupBy("root").agg(F.min("best").alias("best"))
-    best = best.select(F.col("best.id").alias("__id"), F.col("best.th").alias("__best"))
-    rows = df.withColumn("__th", text_digest(text))
-    rows = rows.join(best, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__best")), "left_semi")
-    return rows.dropDuplicates([key, "__th"]).drop("__th")
+    th, own, digest = (free_name(df, x) for x in ("digest", "best_id", "best_digest"))
+    best = best.select(F.col("best.id").alias(own), F.col("best.th").alias(digest))
+    rows = df.withColumn(th, text_digest(text))
+    rows = rows.join(best, quoted(key).eqNullSafe(F.col(own)) & (F.col(th) == F.col(digest)), "left_semi")
+    return rows.dropDuplicates([key, th]).drop(th)
 
 
 def op5_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
