@@ -1,17 +1,29 @@
-"""Documents whose sets of word shingles have a Jaccard similarity of ``percent`` or more; exact, by prefixes.
+"""One document of each group of near-duplicates: SimHash first, then all that SimHash cannot see.
 
-Sets are put in one order for all; two sets that are similar enough share one of the first few shingles of
-each, so only those are dealt. The order puts shingles last that many texts of a sample hold, which decides
-the cost and never the result. Sizes, and the places of the shared shingle, rule out most pairs.
+Two texts are near-duplicates if their sets of word shingles have a Jaccard similarity of ``percent`` or more.
+A SimHash radius finds the near ones cheaply, but by the angle of such sets a pair at 0.8 is about ten bits
+apart, so no radius that an index can serve finds all of them. So there are two phases:
+
+1. SimHash: texts whose fingerprints the Gray-order index links (see simhash) are judged by their shingles.
+2. Prefixes: sets are put in one order for all; two sets that are similar enough share one of the first few
+   shingles of each, so only those are dealt. The order puts shingles last that many texts of a sample hold,
+   which decides the cost and never the result. Texts that are connected already are not compared again.
+
+No pair is accepted but by its whole sets, and none is refused but by a bound: sizes, the place of the shared
+shingle, and a parity bitmap of each set (as many bits as the set has members), whose differing bits are never
+more than the members in which two sets differ. Bitmaps decide nearly all pairs, so texts travel for few.
 
 A group (texts with one shingle among their first) gives links from its members to leaders; groups of more
-than ``SMALL`` texts are kept, each list of members once, and after the leaders' links are judged and
-connected they give the pairs that stand in different components still. Every pair is judged by the sets
-of its texts. So a group of near copies costs its size, and only texts that share a rare shingle without
-being similar are compared each with each.
+than ``SMALL`` texts are kept, each list of members once. Those that are not in one component when the leaders'
+links are judged are compared each with each by bitmaps four times as wide, and give as many pairs as would
+connect what may be similar, a few times over; after that all pairs that are in different components still.
+So a group of near copies costs its size, and no pair is left out. A group of more than ``group_rows`` texts
+is dealt in pairs of blocks, so none meets in one task.
 
 Texts: A-Z lower-cased, words are runs of anything but ASCII white space; a text of fewer words than a
-shingle is one shingle. Nulls and texts without words are copies of each other and of nothing else.
+shingle is one shingle. Nulls and texts without words are copies of each other and of nothing else. Very long
+texts are taken whole, 8 bytes a shingle. Repeated rows leave one. An empty table gives an empty result.
+Columns come back as they are, whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,21 +36,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, release, settle, utf8
+from .common import forget, quoted, release, settle
 from .graph import components
-from .simhash import first_of_groups, text_digest
+from .simhash import LIMIT, first_of_groups, line_of, links, majority, shingle_hashes, text_digest
 
 SHINGLE = 5
 PERCENT = 80
 #: One text in so many is looked at for common shingles, and so many of these are remembered.
-SAMPLE = 16
+SAMPLE = 4
 COMMON = 200_000
-#: Texts of a group that are compared each with each at once.
+#: Texts of a group that are compared each with each at once, and from which a group is dealt in blocks.
 SMALL = 4
-
-
-def line_of(text: str | None) -> bytes:
-    return b" ".join(utf8(text).translate(LOWER_TABLE).split())
+GROUP_ROWS = 50_000
+#: Rounds in which groups give pairs that would connect them, before they give all that are left; width of the bitmaps then.
+FORESTS = 2
+WIDE = 4
+_BITS = np.array([bin(i).count("1") for i in range(256)], np.int64)
 
 
 def code_of(line: bytes) -> int:
@@ -47,14 +60,7 @@ def code_of(line: bytes) -> int:
 
 def shingles(line: bytes, width: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a normalised line."""
-    words = line.split()
-    if not words:
-        return np.empty(0, np.int64)
-    n = max(1, len(words) - width + 1)
-    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-    starts, ends = [0, *ends[: n - 1]], ends[-n:]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(line[a : b - 1]) for a, b in zip(starts, ends, strict=True)], np.uint64).view(np.int64))
+    return np.unique(shingle_hashes(line, width).view(np.int64))
 
 
 def _within(values: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -66,12 +72,47 @@ def _within(values: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 def prefix(found: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
     """The shingles of which similar sets share one, in the order of all sets."""
+    if not len(found):
+        return found
     late = _within(found, common)
     n = len(found)
     return np.concatenate((found[~late], found[late]))[: n - -(-percent * n // 100) + 1]
 
 
-def _mapped(df: DataFrame, text: str, run: Callable[[list], dict], schema: str) -> DataFrame:
+def bitmap(found: np.ndarray, width: int = 1) -> bytes:
+    """Parities of the members by their low bits; width times as many as members, up to a power of two."""
+    size = max(64, 1 << (max(1, len(found) * width) - 1).bit_length())
+    odd = np.bincount(found.view(np.uint64) & np.uint64(size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def _fold(marks: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (a row each) as they would be with so many bytes: parities add up."""
+    return np.bitwise_xor.reduce(marks.reshape(len(marks), -1, size), axis=1)
+
+
+def apart(one: bytes, others: list[bytes]) -> np.ndarray:
+    """At least so many members are in one set alone, for one against each of the others."""
+    own, out = np.frombuffer(one, np.uint8)[None], np.zeros(len(others), np.int64)
+    sizes = np.array([len(x) for x in others])
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        least = min(size, own.shape[1])
+        mine = _fold(own, least)
+        for i in range(0, len(at), 4096):
+            part = at[i : i + 4096]
+            theirs = _fold(np.frombuffer(b"".join([others[k] for k in part.tolist()]), np.uint8).reshape(len(part), size), least)
+            out[part] = _BITS[theirs ^ mine].sum(axis=1)
+    return out
+
+
+def _near(n: np.ndarray, m: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
+    """May sets of n and m members be similar that differ in so many or more?"""
+    return differ * (100 + percent) <= (n + m) * (100 - percent)
+
+
+def _mapped(df: DataFrame, text: str, run: Callable[[dict], list], schema: str) -> DataFrame:
+    """run(lines by code) over the distinct normalised texts of each task."""
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,35 +129,73 @@ def _mapped(df: DataFrame, text: str, run: Callable[[list], dict], schema: str)
                 if lines:
                     yield pa.RecordBatch.from_arrays(run(lines), names=names)
 
-    return df.select(F.col(text)).mapInArrow(go, schema)
+    return df.select(quoted(text)).mapInArrow(go, schema)
 
 
 def common_shingles(df: DataFrame, text: str, width: int) -> np.ndarray:
-    """Shingles that several texts of a sample hold."""
+    """Shingles that several texts of a sample hold; COMMON at most, so they may be collected."""
 
     def run(lines: dict) -> list:
         return [pa.array(np.concatenate([shingles(x, width) for x in lines.values()]))]
 
-    some = df.where(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0)
+    some = df.where(F.pmod(F.xxhash64(quoted(text)), F.lit(SAMPLE)) == 0)
     counted = _mapped(some, text, run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
     found = counted.orderBy(F.desc("n"), "token").limit(COMMON).select("token").toArrow()
     return np.sort(found.column(0).to_numpy()).astype(np.int64)
 
 
-def _groups(rows: DataFrame, key: str, judge: Callable, schema: str) -> DataFrame:
-    """judge(columns of one group) for every group; rows have the key first."""
-    rows = rows.repartition(key).sortWithinPartitions(*rows.columns)
+def sketches(df: DataFrame, key: str, text: str, width: int, percent: int, common: np.ndarray) -> DataFrame:
+    """k, th, code of every row; for the first of a code in each task also its fingerprint, n, marks, wide marks and first shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                codes, rows = [], []
+                for t in batch.column(1):
+                    line = line_of(t.as_py())
+                    code = code_of(line)
+                    codes.append(code)
+                    if code in seen:
+                        rows.append((None,) * 5)
+                        continue
+                    seen.add(code)
+                    hashes = shingle_hashes(line, width)
+                    found = np.unique(hashes.view(np.int64))
+                    fp = majority(hashes) if len(hashes) else 0
+                    rows.append((fp - (1 << 64) if fp >> 63 else fp, len(found), bitmap(found), bitmap(found, WIDE), prefix(found, common, percent)))
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(codes, pa.int64()), *columns], names=names)
+
+    names = ["k", "th", "code", "fp", "n", "marks", "wide", "first"]
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+    rows = df.select(quoted(key), quoted(text), text_digest(text))
+    return rows.mapInArrow(run, f"k {df.schema[key].dataType.simpleString()}, th string, code long, fp long, n long, marks binary, wide binary, first array<bigint>")
+
+
+def _groups(rows: DataFrame, judge: Callable, schema: str, group_rows: int) -> DataFrame:
+    """judge(columns of one group) for every group; rows have the group's key first, then a code."""
+    key, code = rows.columns[:2]
+    hot = settle(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > group_rows), "hot")
+    if not hot.isEmpty():  # in pairs of blocks: rows of any two blocks meet
+        blocks = F.ceil(F.col("__n") * 2 / group_rows).cast("int")
+        own = F.pmod(F.xxhash64(code), blocks).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.xxhash64(F.col(key), F.least(k, own), F.greatest(k, own)))
+        dealt = F.explode(F.when(F.col("__n").isNull(), F.array(key)).otherwise(pairs))
+        rows = rows.join(hot, key, "left").select(dealt.alias(key), *rows.columns[1:])
+    rows = rows.repartition(key).sortWithinPartitions(key, code)
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list | None = None
 
         def judged(columns: list) -> Iterator[pa.RecordBatch]:
-            new = np.flatnonzero(np.diff(columns[0])) + 1
+            new = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
             starts, ends = np.append(0, new), np.append(new, len(columns[0]))
             out, size = [], 0
             for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-                for part in judge(*[c[a:b] for c in columns]):
+                for part in judge(*[c[a:b] for c in columns[1:]]):
                     out.append(part)
                     size += len(part[0])
                     if size > 500_000:
@@ -145,47 +224,56 @@ def _groups(rows: DataFrame, key: str, judge: Callable, schema: str) -> DataFram
     return rows.mapInArrow(run, schema)
 
 
-def _may(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Can sets of n and m shingles be similar whose first shared ones stand at places i and j?"""
-    most = np.minimum(n - i, m - j)
-    return most * 100 >= percent * (n + m - most)
-
-
-def first_round(codes: np.ndarray, n: np.ndarray, place: np.ndarray, percent: int) -> Iterator[tuple]:
-    """g, u, v, n: pairs to be judged (g 0), then members u of groups g to be looked at again."""
+def first_round(codes: np.ndarray, n: np.ndarray, place: np.ndarray, roots: np.ndarray, percent: int) -> Iterator[tuple]:
+    """g, u, v: pairs to be judged (g 0), then members u of groups g to be looked at again."""
     codes, at = np.unique(codes, return_index=True)
-    n, place = n[at], place[at]
-    if len(codes) < 2:
+    n, place, roots = n[at], place[at], roots[at]
+    if len(codes) < 2 or (roots == roots[0]).all():
         return
     left, linked = np.arange(len(codes)), 0
     while len(left) > 1:
         a, rest = left[0], left[1:]
-        near = _may(n[a], n[rest], place[a], place[rest], percent)
-        b = rest[near]
+        most = np.minimum(n[a] - place[a], n[rest] - place[rest])  # members both may have: the shared one is the first
+        near = most * 100 >= percent * (n[a] + n[rest] - most)
+        b = rest[near & (roots[rest] != roots[a])]
         linked += len(b)
-        yield np.zeros(len(b), np.int64), np.full(len(b), codes[a]), codes[b], np.zeros(len(b), np.int64)
+        yield np.zeros(len(b), np.int64), np.full(len(b), codes[a]), codes[b]
         left = rest if len(codes) <= SMALL else rest[~near]
     if len(codes) > SMALL and linked:
-        g = np.full(len(codes), code_of(codes.tobytes()) | 1)
-        yield g, codes, np.zeros(len(codes), np.int64), n
+        yield np.full(len(codes), code_of(codes.tobytes()) | 1), codes, np.zeros(len(codes), np.int64)
 
 
-def second_round(codes: np.ndarray, n: np.ndarray, roots: np.ndarray, percent: int) -> Iterator[tuple]:
-    """u, v: pairs of a group in different components."""
+def second_round(codes: np.ndarray, n: np.ndarray, marks: np.ndarray, roots: np.ndarray, percent: int, forest: bool) -> Iterator[tuple]:
+    """u, v: pairs of a group in different components that no bound refuses; with forest only as many as connect the same."""
     if (roots == roots[0]).all():
         return
     order = np.argsort(n, kind="stable")
-    codes, n, roots = codes[order], n[order], roots[order]
+    codes, n, marks = codes[order], n[order], marks[order]
+    labels = np.unique(roots[order], return_inverse=True)[1]
     ends = np.searchsorted(n, n * 100 // percent, side="right")
     for a, b in enumerate(ends.tolist()):
-        far = codes[a + 1 : b][roots[a + 1 : b] != roots[a]]
-        yield np.minimum(far, codes[a]), np.maximum(far, codes[a])
-
-
-def _judged(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs u, v that are similar."""
+        rest = np.arange(a + 1, b)
+        rest = rest[labels[rest] != labels[a]]
+        if not len(rest):
+            continue
+        rest = rest[_near(n[a], n[rest], apart(marks[a], marks[rest].tolist()), percent)]
+        if forest and len(rest):
+            met, at = np.unique(labels[rest], return_index=True)
+            rest = rest[at]
+            labels[np.isin(labels, met)] = labels[a]
+        yield np.minimum(codes[rest], codes[a]), np.maximum(codes[rest], codes[a])
+
+
+def _judged(df: DataFrame, text: str, pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs u, v that are similar, settled. Bitmaps come first; texts are fetched for what they leave."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            differ = [int(apart(a.as_py(), [b.as_py()])[0]) for a, b in zip(batch.column(4), batch.column(5), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(_near(n, m, np.array(differ, np.int64), percent)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
 
         def of(code: int, line: pa.Scalar) -> np.ndarray:
@@ -204,55 +292,81 @@ def _judged(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
                 good.append(both * 100 >= percent * (len(a) + len(b) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    rows = pairs.join(texts.select(F.col("code").alias("u"), F.col("line").alias("s")), "u")
-    rows = rows.join(texts.select(F.col("code").alias("v"), F.col("line").alias("t")), "v")
-    return rows.select("u", "v", "s", "t").mapInArrow(run, "u long, v long")
-
-
-def similar_links(df: DataFrame, *, text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """u, v between codes of texts that connect all texts that are similar."""
-    common = common_shingles(df, text, shingle)
-
-    def first_shingles(lines: dict) -> list:
-        sets = [shingles(x, shingle) for x in lines.values()]
-        parts = [prefix(s, common, percent) if len(s) else s for s in sets]
-        sizes = [len(p) for p in parts]
-        place = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
-        codes = np.repeat(np.array(list(lines), np.int64), sizes)
-        return [pa.array(x) for x in (np.concatenate(parts), codes, np.repeat(np.array([len(s) for s in sets], np.int32), sizes), place)]
-
-    rows = _mapped(df, text, first_shingles, "token long, code long, n int, place int")
-    found = settle(_groups(rows, "token", lambda _, c, n, p: first_round(c, n.astype(np.int64), p, percent), "g long, u long, v long, n long"), "groups")
-    pairs = settle(found.where("g = 0").select("u", "v").distinct(), "pairs")
-    groups = settle(found.where("g <> 0").select("g", F.col("u").alias("code"), "n").distinct(), "members")
-    needed = pairs.select(F.col("u").alias("code")).unionAll(pairs.select("v")).unionAll(groups.select("code")).distinct()
-    release(df.sparkSession)
+    one = sets.select(F.col("code").alias("u"), F.col("n").alias("a"), F.col("marks").alias("x"))
+    two = sets.select(F.col("code").alias("v"), F.col("n").alias("b"), F.col("marks").alias("y"))
+    left = settle(pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b", "x", "y").mapInArrow(near, "u long, v long"), "pairs")
+    needed = left.select(F.col("u").alias("code")).unionAll(left.select("v")).distinct()
 
     def lines_of(lines: dict) -> list:
         return [pa.array(list(lines), pa.int64()), pa.array(list(lines.values()), pa.binary())]
 
     texts = _mapped(df, text, lines_of, "code long, line binary").join(needed, "code", "left_semi").dropDuplicates(["code"])
     texts = settle(texts, "lines")
-    links = settle(_judged(pairs, texts, shingle, percent), "similar")
-    roots = components(links)
-    members = groups.join(roots, groups.code == roots.node, "left").select("g", "code", "n", F.coalesce("root", "code").alias("root"))
-    again = _groups(members, "g", lambda _, c, n, r: second_round(c, n, r, percent), "u long, v long").distinct()
-    again = settle(again.join(pairs, ["u", "v"], "left_anti"), "pairs")
-    links = settle(links.unionAll(_judged(again, texts, shingle, percent)), "similar")
     release(df.sparkSession)
-    return links
+    rows = left.join(texts.select(F.col("code").alias("u"), F.col("line").alias("s")), "u")
+    rows = rows.join(texts.select(F.col("code").alias("v"), F.col("line").alias("t")), "v")
+    found = settle(rows.select("u", "v", "s", "t").mapInArrow(similar, "u long, v long"), "similar")
+    forget(left, texts)
+    release(df.sparkSession)
+    return found
 
 
-def keep_one(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """df with one row of each group of similar texts, chosen as by ``simhash.keep_one``."""
+def _rooted(codes: DataFrame, found: DataFrame) -> DataFrame:
+    """codes (any columns, code among them) with the root of each code."""
+    roots = components(found)
+    return codes.join(roots, codes.code == roots.node, "left").withColumn("root", F.coalesce("root", "code")).drop("node")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = [code_of(line_of(t.as_py())) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(codes, pa.int64())], names=[key, "th", "code"])
 
-    rows = df.select(F.col(key), F.col(text).alias("__t"), text_digest(text).alias("th"))
-    docs = settle(rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, th string, code long"), "codes")
-    roots = components(similar_links(df, text=text, shingle=shingle, percent=percent))
-    codes = docs.select("code").distinct().join(roots, F.col("code") == F.col("node"), "left").select("code", F.coalesce("root", "code").alias("root"))
+def _classes(df: DataFrame, key: str, text: str, width: int, percent: int, limit: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
+    """k, th, code of every row; code, root of every code."""
+    rows = settle(sketches(df, key, text, width, percent, common_shingles(df, text, width)), "sketches")
+    sets = settle(rows.where("n is not null").drop("k", "th").dropDuplicates(["code"]), "sets")
+    docs = settle(rows.select("k", "th", "code"), "codes")
+    forget(rows)
+    release(df.sparkSession)
+
+    # SimHash: a fingerprint stands for its texts by the least code
+    prints = settle(sets.groupBy("fp").agg(F.min("code").alias("least")), "prints")
+    linked = links(prints.select(F.col("fp").alias("code")), limit=limit, group_rows=group_rows)
+    near = sets.join(prints, "fp").where("code <> least").select(F.col("least").alias("u"), F.col("code").alias("v"))
+    ends = linked.join(prints.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v")
+    pairs = settle(near.unionAll(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))), "pairs")
+    found = _judged(df, text, pairs, sets, width, percent)
+
+    # prefixes, leaders first
+    rooted = _rooted(sets.select("code", "n", "first"), found)
+    dealt = rooted.select("code", "n", "root", F.posexplode("first").alias("place", "token")).select("token", "code", "n", "place", "root")
+    dealt = settle(_groups(dealt, lambda c, n, p, r: first_round(c, n, p.astype(np.int64), r, percent), "g long, u long, v long", group_rows), "groups")
+    release(df.sparkSession)
+    led = settle(dealt.where("g = 0").select("u", "v").distinct(), "pairs")
+    members = settle(dealt.where("g <> 0").select("g", F.col("u").alias("code")).distinct(), "members")
+    forget(dealt, pairs)
+    release(df.sparkSession)
+    found = settle(found.unionAll(_judged(df, text, led, sets, width, percent)), "similar")
+
+    # and what is left of the groups
+    forests = FORESTS
+    while forests >= 0:
+        known = _rooted(sets.select("code"), found)
+        rooted = members.join(known, "code").select("g", "code", "root")
+        open_ = rooted.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("g")
+        again = rooted.join(open_, "g", "left_semi").join(sets.select("code", "n", "wide"), "code").select("g", "code", "n", "wide", "root")
+        again = _groups(again, lambda c, n, m, r, f=forests > 0: second_round(c, n, m, r, percent, f), "u long, v long", group_rows)
+        again = settle(again.distinct().join(led, ["u", "v"], "left_anti"), "pairs")
+        release(df.sparkSession)
+        none = again.isEmpty()
+        if not none:
+            found = settle(found.unionAll(_judged(df, text, again, sets, width, percent)), "similar")
+            led = led.unionAll(again)
+        # a forest may consist of pairs that are judged already, so only the last round ends it
+        forests = min(forests, 1) - 1 if none else forests - 1
+    return docs, _rooted(sets.select("code"), found)
+
+
+def keep_one(
+    df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, limit: int = LIMIT, group_rows: int = GROUP_ROWS
+) -> DataFrame:
+    """df with one row of each group of near-duplicates, that with the smallest key (null: last), then text digest."""
+    docs, codes = _classes(df, key, text, shingle, percent, limit, group_rows)
+    release(df.sparkSession)
     return first_of_groups(df, docs, codes, key, text)
