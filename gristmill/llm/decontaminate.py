@@ -11,7 +11,8 @@ what the one before has found. Documents are never shuffled.
 
 Nulls: a null or empty text has no words and no hits; an item without words has no windows; an item
 with a null id is left out of the ids but marks words. Repeated items count once by id. Repeated rows
-each get their row. Other columns pass through untouched where ``keep`` names them.
+each get their row. Very long texts are scanned whole. An empty table gives an empty result, an empty
+benchmark no hits. Other columns pass through ``annotate`` untouched, whatever they are called.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_TABLE, table, utf8, worker_cache
+from .common import ALNUM_TABLE, quoted, table, utf8, with_column, worker_cache
 
 WIDTH = 8
 #: Normalised bytes in one automaton; about 300 MB of trie at most.
@@ -125,55 +126,46 @@ def blocks_of(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> l
     return [*blocks, tuple(block)]
 
 
-def scan(
-    docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id",
-    item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None,
+def annotate(
+    docs: DataFrame, benchmark: DataFrame, *, out: str, text: str = "text", item: str = "item_id", item_text: str = "text",
+    width: int = WIDTH, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """key, n_words, n_hit, items (sorted ids as strings), spans; kept columns follow as they are."""
-    blocks = blocks_of(benchmark, item, item_text, block_bytes)
-    extra = [docs.schema[c] for c in keep or []]
-    fields = [T.StructField(key, docs.schema[key].dataType), T.StructField("__t", T.StringType())]
-    state = T._parse_datatype_string(f"n_words long, n_hit long, items array<string>, spans {SPAN}").fields
-    extra = [T.StructField(f"__keep{i}", f.dataType) for i, f in enumerate(extra)]
-    schema = T.StructType([*fields, *state, *extra])
-    df = docs.select(F.col(key), F.col(text).alias("__t"), *[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep or [])])
-
-    def stage(block: tuple, first: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """docs with the struct out: n_words, n_hit, items (sorted ids as strings), spans. out must be a free name."""
+    at = docs.columns.index(text)
+    state = T._parse_datatype_string(f"n_words long, n_hit long, items array<string>, spans {SPAN}")
+    span = pa.struct([(n, pa.int32()) for n in ("first_word", "last_word", "start", "end")])
+    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(span))])
+
+    def judged(value: str | None, automaton, had: dict | None) -> dict:
+        words, mask, items = hits(value, automaton)
+        if had and had["spans"]:
+            mask = np.zeros(len(words), bool) if mask is None else mask
+            for s in had["spans"]:
+                mask[s["first_word"] : s["last_word"] + 1] = True
+        ids = sorted({i for i in items if i is not None} | set(had["items"] if had else ()))
+        spans = [] if mask is None else spans_of(value, mask)
+        return {"n_words": len(words), "n_hit": 0 if mask is None else int(mask.sum()), "items": ids, "spans": spans}
+
+    def scanner(block: tuple, first: bool):
+        def scanned(batch: pa.RecordBatch) -> pa.Array:
             automaton = _automaton(block, width)
-            for whole in batches:
-                for at in range(0, whole.num_rows, 1000):
-                    batch = whole.slice(at, 1000)
-                    out: dict[str, list] = {"n_words": [], "n_hit": [], "items": [], "spans": []}
-                    texts = batch.column(1)
-                    before = [None] * batch.num_rows if first else batch.column("spans").to_pylist()
-                    ids = [()] * batch.num_rows if first else batch.column("items").to_pylist()
-                    for value, old, had in zip(texts, before, ids, strict=True):
-                        value = value.as_py()
-                        words, mask, items = hits(value, automaton)
-                        if old:
-                            mask = np.zeros(len(words), bool) if mask is None else mask
-                            for s in old:
-                                mask[s["first_word"] : s["last_word"] + 1] = True
-                        out["n_words"].append(len(words))
-                        out["n_hit"].append(0 if mask is None else int(mask.sum()))
-                        out["items"].append(sorted({i for i in items if i is not None} | set(had)))
-                        out["spans"].append([] if mask is None else spans_of(value, mask))
-                    kinds = {
-                        "n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()),
-                        "spans": pa.list_(pa.struct([(n, pa.int32()) for n in ("first_word", "last_word", "start", "end")])),
-                    }
-                    columns = [batch.column(0), texts, *[pa.array(out[n], kinds[n]) for n in out]]
-                    n = 2 if first else 6
-                    columns += [batch.column(i) for i in range(n, batch.num_columns)]
-                    yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
-
-        return run
-
-    for i, block in enumerate(blocks):
-        df = df.mapInArrow(stage(block, i == 0), schema)
-    names = [F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep or [])]
-    return df.select(key, "n_words", "n_hit", "items", "spans", *names)
+            before = [None] * batch.num_rows if first else batch.column(batch.num_columns - 1).to_pylist()
+            return pa.array([judged(value.as_py(), automaton, had) for value, had in zip(batch.column(at), before, strict=True)], kind)
+
+        return scanned
+
+    df = docs
+    for i, block in enumerate(blocks_of(benchmark, item, item_text, block_bytes)):
+        df = with_column(df, f"{out}_{i}", state, scanner(block, i == 0))
+        if i:  # the struct before it is part of the new one
+            df = df.toDF(*[f"c{k}" for k in range(len(df.columns))]).drop(f"c{len(docs.columns)}").toDF(*docs.columns, f"{out}_{i}")
+    return df.toDF(*docs.columns, out)
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """key, n_words, n_hit, items (sorted ids as strings), spans; options as for annotate."""
+    df = annotate(docs.select(quoted(key).alias("k"), quoted(text).alias("t")), benchmark, out="found", text="t", **options)
+    return df.select(F.col("k").alias(key), "found.n_words", "found.n_hit", "found.items", "found.spans")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,6 +187,6 @@ def brute_force(text: str | None, items: list[tuple[str, str]], width: int = WID
             for i in range(len(words) - n + 1):
                 if words[i : i + n] == want:
                     hit.update(range(i, i + n))
-                    found.add(item)
+                    found |= {item} - {None}
     digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
     return len(words), len(hit), len(found), digest, len(found) >= MIN_ITEMS

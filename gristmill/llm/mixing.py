@@ -6,12 +6,13 @@ set is a prefix and the level follows from exact integer sums, without iterating
 taken floor(target / size) times, and the fractional rest goes to documents in seeded hash order: each
 once more until the target's whole words are reached, which falls within one document. That one is taken
 in part (its first words), or, with ``whole_documents``, wholly or not at all, whichever is nearer.
-Hot sources are dealt over hash buckets, so no
-source is ever gathered in one task; only sums per (source, bucket) are.
+Hot sources are dealt over buckets of a hash of key and text, so no source or key is ever gathered in
+one task; only sums per (source, bucket) are. Targets are found on one row a source.
 
 Nulls: a null source is a source of its own, last in order; a null text has no words. Repeated rows
-count each; rows with the same key are ordered by size. A source without words has target 0.
-An empty table gives an empty result.
+count each; which of equal rows is taken more often does not matter, for they are equal. Very long texts
+are counted where they are. A source without words has target 0. An empty table gives an empty result.
+Other columns are not looked at; ``rows`` brings them along as one column.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, md5_long, table
+from .common import WORD, md5_long, quoted, table, whole_row
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -54,14 +55,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
 
 def mix(
     df: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 42, whole_documents: bool = False,
-    key: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None,
+    key: str = "doc_id", text: str = "text", source: str = "source", rows: bool = False,
 ) -> DataFrame:
-    """key, size, source_size, target, taken, times (whole copies), part (words of a further, partial copy) for every row (and the columns named in keep)."""
-    hashed = md5_long(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("\0"))))
+    """key, size, source_size, target, taken, times (whole copies), part (words of a further, partial copy) for every row; with rows also the row itself (a struct)."""
+    own = F.coalesce(quoted(key).cast("string"), F.lit("\0"))
+    hashed = md5_long(F.concat_ws(":", F.lit(seed), own, F.md5(F.coalesce(quoted(text), F.lit("")).cast("binary"))))
+    kept = [whole_row(df).alias("row")] if rows else []
     rows = df.select(
-        F.col(key).alias("__key"), F.col(source).alias("__source"),
-        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("__size"),
-        hashed.alias("__h"), *[F.col(c) for c in keep or []],
+        quoted(key).alias("__key"), quoted(source).alias("__source"),
+        F.coalesce(F.regexp_count(quoted(text), F.lit(WORD)), F.lit(0)).cast("long").alias("__size"), hashed.alias("__h"), *kept,
     ).withColumn("__bucket", F.expr(f"cast(__h div {2**60 // BUCKETS} as int)"))
     # narrow on purpose: this branch and the next each read only key, source and text
     buckets = rows.groupBy("__source", "__bucket").agg(F.sum("__size").alias("__bucket_size"))
@@ -90,7 +92,7 @@ def mix(
         F.col("__key").alias(key), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
         F.col("__target").alias("target"), (F.col("__whole") * F.col("__size") + F.col("__more")).alias("taken"),
         (F.col("__whole") + full).cast("int").alias("times"),
-        F.when(full == 1, 0).otherwise(F.col("__more")).cast("long").alias("part"), *[F.col(c) for c in keep or []],
+        F.when(full == 1, 0).otherwise(F.col("__more")).cast("long").alias("part"), *["row"] * len(kept),
     )
 
 
@@ -101,7 +103,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH docs AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, chr(0))), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, chr(0)) || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
   FROM documents
 ), src AS (
   SELECT source, sum(size)::BIGINT AS source_size,

@@ -12,8 +12,8 @@ shuffles (host, line) hashes, partially aggregated, so neither a hot host nor a
 task; lines are looked up again by a join that adaptive execution splits where a line is hot.
 
 Nulls: a null text has no words and fails the base rules; null hosts are one host. Repeated rows count as
-one document and get a row each. Lines without a word are never counted. An empty table gives an empty
-result. Other columns are not looked at.
+one document and get a row each. Lines without a word are never counted. Very long texts are counted whole.
+An empty table gives an empty result. Other columns are not looked at, whatever they are called.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, table, utf8
+from .common import free_name, quoted, settle, table, utf8, with_column
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -88,7 +88,7 @@ def line_words(raw: bytes) -> dict[int, int]:
 
 def measured(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
     """One row a document: key, host, the text's hash, the five counts, line hashes and words of lines."""
-    rows = df.select(F.col(key).alias("k"), F.col(host).cast("string").alias("host"), F.col(text).alias("t"))
+    rows = df.select(quoted(key).alias("k"), quoted(host).cast("string").alias("host"), quoted(text).alias("t"))
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,28 +158,27 @@ def clean(df: DataFrame, *, key: str = "doc_id", text: str = "text", host: str =
     gone = gone.join(docs.select("rid", "host", "th"), "rid").groupBy("host", "th").agg(F.first("lines").alias("__gone"))
     gone = gone.select(F.col("host").alias("__host"), F.col("th").alias("__of"), "__gone")
 
-    columns = df.columns
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [xxhash.xxh64_intdigest(utf8(t.as_py())) - 2**63 for t in batch.column(batch.schema.get_field_index(text))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*columns, "__th"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, out = batch.schema.get_field_index(text), []
-            for t, lines in zip(batch.column(at), batch.column("__gone"), strict=True):
-                t = t.as_py()
-                if lines.is_valid:
-                    bad = set(lines.as_py())
-                    t = "\n".join(x for x in t.split("\n") if bad.isdisjoint(line_words(utf8(x))))
-                out.append(t)
-            parts = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(columns))]
-            yield pa.RecordBatch.from_arrays(parts, names=columns)
-
-    rows = df.mapInArrow(hashed, T.StructType([*df.schema.fields, T.StructField("__th", T.LongType())]))
-    same = F.col(host).cast("string").eqNullSafe(F.col("__host")) & (F.col("__th") == F.col("__of"))
-    return rows.join(gone, same, "left").select(*[F.col(f"`{c}`") for c in columns], "__gone").mapInArrow(cut, df.schema)
+    at = df.columns.index(text)
+
+    def hashed(batch: pa.RecordBatch) -> pa.Array:
+        return pa.array([xxhash.xxh64_intdigest(utf8(t.as_py())) - 2**63 for t in batch.column(at)], pa.int64())
+
+    def cut(batch: pa.RecordBatch) -> pa.Array:
+        out = []
+        for t, lines in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True):
+            t = t.as_py()
+            if lines.is_valid:
+                bad = set(lines.as_py())
+                t = "\n".join(x for x in t.split("\n") if bad.isdisjoint(line_words(utf8(x))))
+            out.append(t)
+        return pa.array(out, pa.string())
+
+    th, name = free_name(df, "th"), free_name(df, "clean")
+    rows = with_column(df, th, T.LongType(), hashed)
+    same = quoted(host).cast("string").eqNullSafe(F.col("__host")) & (F.col(th) == F.col("__of"))
+    rows = rows.join(gone, same, "left").select(*[quoted(c) for c in df.columns], "__gone")
+    rows = with_column(rows, name, T.StringType(), cut)
+    return rows.select(*[quoted(name).alias(text) if c == text else quoted(c) for c in df.columns])
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,15 @@
 """Sharding by a Feistel permutation of global row numbers, with cycle walking.
 
-Every row gets a global number: rows are ordered by a hash bucket of their key, then by key and
-tie-breakers, so numbering needs one shuffle of narrow rows and a prefix sum over a fixed number of
+Every row gets a global number: rows are ordered by a hash bucket of key, text's CRC-32 and size (so that a
+key that many rows share does not fill one), then by key and tie-breakers, so numbering needs one shuffle of narrow rows and a prefix sum over a fixed number of
 bucket counts, never a global sort. A keyed Feistel network over the mixed-radix square a x b >= N
 permutes the numbers; results outside 0..N-1 walk on along their cycle. ``p mod shards`` is the shard
 and ``p div shards`` the slot, so shard sizes differ by one at most, slots have no gaps, and both can
 be computed for any row number (``locate``) or inverted (``row_number_at``) without the data.
 
 Nulls: a null key or text counts as a value of its own; a null text has no bytes. Ties and repeated
-rows get different numbers. An empty table gives an empty result. Other columns are not looked at
-unless they are asked for with ``keep``.
+rows get different numbers. Very long texts are measured where they are. An empty table gives an empty
+result. Other columns are not looked at; ``rows`` brings them along as one column.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import md5_long, table
+from .common import md5_long, quoted, table, whole_row
 
 #: A Mersenne prime: products of two residues stay below 2**62.
 PRIME = 2147483647
@@ -106,7 +106,8 @@ def _feistel(x: Column, a: Column, b: Column, seed: int) -> Column:
 
 def numbered(df: DataFrame, key: str, ties: list[str]) -> DataFrame:
     """df with __row (0..N-1) and __n (N)."""
-    bucket = F.pmod(md5_long(F.coalesce(F.col(key).cast("string"), F.lit("\0"))), F.lit(BUCKETS)).cast("int")
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in (key, *ties)]
+    bucket = F.pmod(md5_long(F.concat_ws(":", *own)), F.lit(BUCKETS)).cast("int")
     rows = df.withColumn("__bucket", bucket)
     counts = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__c"))
     over = Window.orderBy("__bucket")
@@ -125,16 +126,17 @@ def numbered(df: DataFrame, key: str, ties: list[str]) -> DataFrame:
 
 
 def shard(
-    df: DataFrame, *, shards: int = 40, seed: int = 42, key: str = "doc_id", text: str = "text", keep: list[str] | None = None
+    df: DataFrame, *, shards: int = 40, seed: int = 42, key: str = "doc_id", text: str = "text", rows: bool = False
 ) -> DataFrame:
-    """key, size, text_crc32, shard, slot for every row (and the columns named in keep)."""
+    """key, size, text_crc32, shard, slot for every row; with rows also the row itself (a struct)."""
     if shards < 1:
         raise ValueError("shards must be positive")
+    kept = [whole_row(df).alias("row")] if rows else []
     rows = df.select(
-        F.col(key).alias("__key"),
-        (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("__size"),
-        F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("__crc"),
-        *[F.col(c) for c in keep or []],
+        quoted(key).alias("__key"),
+        (F.coalesce(F.octet_length(quoted(text)), F.lit(0)) + 16).cast("long").alias("__size"),
+        F.coalesce(F.crc32(quoted(text).cast("binary")), F.lit(0)).cast("long").alias("__crc"),
+        *kept,
     )
     rows = numbered(rows, "__key", ["__crc", "__size"])
     n = F.col("__n")
@@ -155,7 +157,7 @@ def shard(
         F.col("__crc").alias("text_crc32"),
         F.pmod(F.col("__p"), F.lit(shards)).cast("int").alias("shard"),
         F.expr(f"__p div {int(shards)}").alias("slot"),
-        *[F.col(c) for c in keep or []],
+        *["row"] * len(kept),
     )
 
 
@@ -190,11 +192,10 @@ WITH RECURSIVE bytes AS (
          list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bs
   FROM documents
 ), docs AS (
-  SELECT doc_id, size::BIGINT AS size,
+  SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, chr(0)) || ':' || crc || ':' || size), 1, 15))::BIGINT % {BUCKETS} AS bucket FROM (SELECT doc_id, size::BIGINT AS size,
          xor(list_reduce(list_prepend(4294967295::BIGINT, bs), lambda acc, x:
-             xor(acc >> 8, ({table_crc}::BIGINT[])[(xor(acc, x) & 255) + 1])), 4294967295::BIGINT)::BIGINT AS crc,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, chr(0))), 1, 15))::BIGINT % {BUCKETS} AS bucket
-  FROM bytes
+             xor(acc >> 8, ({table_crc}::BIGINT[])[(xor(acc, x) & 255) + 1])), 4294967295::BIGINT)::BIGINT AS crc
+  FROM bytes)
 ), numbered AS (
   SELECT *, row_number() OVER (ORDER BY bucket, doc_id NULLS FIRST, crc, size) - 1 AS id, count(*) OVER () AS n FROM docs
 ), sided AS (

@@ -18,12 +18,13 @@ single ones, and names strings by 64-bit hashes that each text's task can comput
 
 Names are counted with partial aggregation, so groups of copies of any size meet only as counts, and
 looked up again by joins that adaptive execution splits. Texts go through the shuffle twice, once for
-step 2 (each distinct text once) and once for the result; rows of one text share its spans. Two different
-strings get one name with a chance of about n * n / 2**65 for n names, two texts one MD5 with far less.
+step 2 (each distinct text once) and once for the result; rows of one text share its spans. Strings count as
+equal only if two 64-bit hashes agree, that of their core and their own, so chance can only make one of two
+different strings with one core: about m * m / 2**65 for a core with m different surroundings.
 
 Texts are UTF-8; nulls and texts shorter than ``length`` lose nothing. Strings never cross documents.
-Repeated rows repeat each other. An empty table gives an empty result. Other columns are not looked at.
-Texts of any length are worked on in blocks of ``BLOCK`` starts.
+Repeated rows repeat each other. An empty table gives an empty result. Other columns are not looked at,
+whatever they are called. Texts of any length are worked on in blocks of ``BLOCK`` starts.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ LENGTH = 400
 #: Starts that may share an anchor, and starts in a range of the second step.
 REACH, FINE = 192, 16
 GRAM = 16
+#: Tasks over which the surroundings of one core are dealt.
+SALTS = 16
 #: Starts of a text worked on at once.
 BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -150,11 +153,14 @@ def _judged(ranges: DataFrame, name: str) -> DataFrame:
     ranges = settle(ranges.join(often, F.col("core") == F.col("c"), "left_semi"), name)
     release(ranges.sparkSession)
     equal = ranges.groupBy("core", "whole").agg(F.sum("weight").alias("n"), F.min(F.struct("rid", "place")).alias("speaker"))
-    single = equal.groupBy("core").agg(F.min("n").alias("least")).where("least = 1").select(F.col("core").alias("c"), F.lit(True).alias("any"))
-    # one key of both names: a join on the two would be dealt by the core alone, and a hot core would meet in one task
-    both = F.xxhash64("core", "whole")
-    equal = equal.join(single, F.col("core") == F.col("c"), "left").select(both.alias("k"), "n", "any", "speaker")
-    marked = ranges.join(equal, both == F.col("k"))
+    single = equal.groupBy("core").agg(F.min("n").alias("least")).where("least = 1")
+    # a hot core has very many wholes: they are dealt over SALTS tasks, and what is known of the core goes to each
+    single = single.select(F.col("core").alias("c"), F.lit(True).alias("any"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    salt = F.pmod("whole", F.lit(SALTS))
+    both = F.xxhash64("core", "whole")  # dealt by this, not by the core alone
+    equal = equal.join(single, (F.col("core") == F.col("c")) & (salt == F.col("s")), "left")
+    equal = equal.select(both.alias("k"), F.col("core").alias("kc"), F.col("whole").alias("kw"), "n", "any", "speaker")
+    marked = ranges.join(equal, (both == F.col("k")) & (F.col("core") == F.col("kc")) & (F.col("whole") == F.col("kw")))
     speaks = F.col("any") & (F.col("speaker.rid") == F.col("rid")) & (F.col("speaker.place") == F.col("place"))
     kept = [c for c in ranges.columns if c not in ("core", "whole", "weight")]
     weight = F.when(F.col("n") > 1, 2).otherwise(1).alias("weight")
@@ -228,11 +234,11 @@ def repeated_ranges(df: DataFrame, *, text: str = "text", length: int = LENGTH,
     release(parts.sparkSession)
     ranges = _judged(parts.drop("each"), "fine")
 
-    still = ranges.where("open").select("rid", "place", "weight").join(parts.select("rid", "place", "each"), ["rid", "place"])
-    starts = still.select("rid", "weight", _ends()[0], F.posexplode("each").alias("i", "h")).select("rid", "weight", (F.col("first") + F.col("i")).alias("p"), "h")
-    starts = settle(starts, "starts")
-    twice = starts.groupBy("h").agg(F.sum("weight").alias("n")).where("n > 1").select("h")
-    starts = starts.where("weight = 1").join(twice, "h", "left_semi").select("rid", F.col("p").alias("first"), F.col("p").alias("last"))
+    still = ranges.where("open").select("rid", "place", "weight").join(parts.select("rid", "place", "core", "each"), ["rid", "place"])
+    starts = still.select("rid", "weight", "core", _ends()[0], F.posexplode("each").alias("i", "h"))
+    starts = settle(starts.select("rid", "weight", (F.col("first") + F.col("i")).alias("p"), "core", "h"), "starts")
+    twice = starts.groupBy("core", "h").agg(F.sum("weight").alias("n")).where("n > 1").select("core", "h")
+    starts = starts.where("weight = 1").join(twice, ["core", "h"], "left_semi").select("rid", F.col("p").alias("first"), F.col("p").alias("last"))
 
     bad = runs.where("bad").unionByName(ranges.where("bad").select(*runs.columns)).select("rid", *_ends()[:2])
     bad = bad.unionByName(starts).join(owners.select("rid"), "rid", "left_semi")

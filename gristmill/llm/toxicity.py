@@ -6,13 +6,16 @@ each direction; attention pools their states to one logit a window. Windows over
 the whole text; a document's logit is its largest, put on a probability scale by a logistic fit.
 
 Training is multiple-instance: each round scores all windows of the sample and learns from the largest
-of every document. The sample is bounded: ``SAMPLE`` labelled rows of each class, in hash order, of texts
-up to ``SAMPLE_CHARS`` characters. Rows that are held out (crc32 of the id mod 4 is 2) are never learnt
+of every document. The sample is bounded: ``SAMPLE`` labelled rows of each class, in hash order, and of each
+``SAMPLE_WORDS`` words: of a longer text runs of ``RUN_WORDS`` words at even distances. Executors cut and
+split the texts, so the driver gets words of the sample alone. Rows that are held out (crc32 of the id mod 4 is 2) are never learnt
 from, and only the text is an input.
 
 Nulls, empty texts and texts without words score 0. Without labels of both classes every text scores
 the share of toxic labels (0 without any). Repeated labels of an id count once, toxic if one of them is.
-Repeated rows get a row each. An empty table gives an empty result. Other columns pass untouched.
+Repeated rows get a row each; of several texts with one id that with the least MD5 is learnt from. Very long
+texts are scored whole, window by window. An empty table gives an empty result. Other columns pass untouched,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -26,14 +29,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_TABLE, md5_long, table, utf8
+from .common import ALNUM_TABLE, md5_long, quoted, table, utf8, with_column
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, EMBED, ATTEND = 8, 8, 8
 WORD_ROWS = CHAR_ROWS = 1 << 16
 GRAM = 4
 SAMPLE = 1000
-SAMPLE_CHARS = 100_000
+SAMPLE_WORDS, RUN_WORDS = 8192, 256
 ROUNDS, BATCH, RATE = 5, 128, 0.01
 THRESHOLD = 0.3
 #: Windows computed at once.
@@ -210,17 +213,28 @@ def log_odds(held: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     return (odds * (pos + neg) / (pos + neg + 3)).astype(np.float32)
 
 
-def train(texts: list[str], y: np.ndarray, share: float) -> Model:
-    """share: of toxic labels among all that could be learnt from, for the scale."""
+def word_runs(text: str | None, most: int = SAMPLE_WORDS, run: int = RUN_WORDS) -> list[list[bytes]]:
+    """A text's words as one run, or, if there are more than most, runs at even distances."""
+    words = utf8(text).translate(ALNUM_TABLE).split()
+    if len(words) <= most:
+        return [words]
+    return [words[a : a + run] for a in np.linspace(0, len(words) - run, max(1, most // run)).astype(int).tolist()]
+
+
+def train(flat: np.ndarray, lengths: np.ndarray, words: list[bytes], run_doc: np.ndarray, y: np.ndarray, share: float) -> Model:
+    """flat: word numbers of all runs in a row, of these lengths; run_doc: document of each run (all of one stand together).
+
+    y: label of each document. share: of toxic labels among all that could be learnt from, for the scale.
+    """
     y = y.astype(np.float64)
     if not len(y) or not 0 < y.mean() < 1:
         return Model(None, share)
     model, rng = Model.start(share), np.random.default_rng(11)
-    flat, lengths, words = tokenize(texts)
     feats = rows, grams, of = features(words)
-    doc, begin, size = windows_of(lengths)
+    run, begin, size = windows_of(lengths)
+    doc = run_doc[run]
     cut = np.searchsorted(of, np.arange(len(words) + 1))  # a word's grams stand together
-    held = [np.unique(part) for part in np.split(flat, np.cumsum(lengths)[:-1])]
+    held = [np.unique(part) for part in np.split(flat, np.cumsum(np.bincount(run_doc, lengths, len(y)).astype(np.int64))[:-1])]
     word_odds = log_odds([np.unique(rows[w]) for w in held], y, WORD_ROWS)
     char_odds = log_odds([np.unique(_only(feats, w, cut)[1]) for w in held], y, CHAR_ROWS)
     model.p["word"][:, 0] = word_odds
@@ -253,7 +267,7 @@ def train(texts: list[str], y: np.ndarray, share: float) -> Model:
                     v -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
             proj = model.inputs(feats) @ model.p["wx"] + model.p["bx"]
             logits = model.window_logits(flat, begin, size, proj)
-    best = np.full(len(texts), -np.inf)
+    best = np.full(len(y), -np.inf)
     np.maximum.at(best, doc, logits)
     has = np.isfinite(best)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
@@ -289,33 +303,41 @@ def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Train on at most ``sample`` rows of each class, the first by a hash of the id."""
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, words: int = SAMPLE_WORDS) -> Model:
+    """Train on at most ``sample`` rows of each class, the first by a hash of the id, and ``words`` words of each."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key)))
     known = known.groupBy(F.col(key).alias("__k")).agg((F.max(label) > 0).cast("int").alias("__y"))
     share = known.agg(F.avg("__y")).first()[0] or 0.0
     hashed = md5_long(F.col("__k").cast("string"))
     picked = [known.where(F.col("__y") == y).orderBy(hashed).limit(sample) for y in (0, 1)]
     picked = picked[0].unionAll(picked[1])  # 2 * sample rows at most, so it may be broadcast
-    rows = docs.select(F.col(key), F.col(text).alias("__t")).where(F.length("__t") <= SAMPLE_CHARS)
-    rows = rows.join(F.broadcast(picked), F.col(key) == F.col("__k")).select("__k", "__t", "__y").dropDuplicates(["__k"]).collect()
-    rows.sort(key=lambda r: str(r[0]))
-    return train([r[1] for r in rows], np.array([r[2] for r in rows]), float(share))
-
-
-def score(df: DataFrame, model: Model, *, text: str = "text", out: str = "__toxicity") -> DataFrame:
-    """df with the column out (double, 0 to 1)."""
+    rows = docs.select(quoted(key).alias("__i"), quoted(text).alias("__t")).join(F.broadcast(picked), F.col("__i") == F.col("__k"))
+    rows = rows.groupBy("__k", "__y").agg(F.min_by("__t", F.md5(F.coalesce("__t", F.lit("")).cast("binary"))).alias("__t"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, y, t in zip(*batch.columns, strict=True):
+                runs = word_runs(t.as_py(), words)
+                n = len(runs)
+                columns = [pa.array([k.as_py()] * n, pa.string()), pa.array([y.as_py()] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(runs, pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "y", "run", "words"])
+
+    rows = rows.select(F.col("__k").cast("string"), "__y", "__t").mapInArrow(cut, "k string, y int, run int, words array<binary>")
+    sampled = rows.toArrow().sort_by([("k", "ascending"), ("run", "ascending")])  # 2 * sample * SAMPLE_WORDS words at most
+    if not len(sampled):
+        return Model(None, float(share))
+    found = sampled.column("words").combine_chunks()
+    coded = found.flatten().dictionary_encode()
+    keys = sampled.column("k").combine_chunks().dictionary_encode().indices.to_numpy()
+    lengths = np.diff(found.offsets.to_numpy()).astype(np.int64)
+    y = sampled.column("y").to_numpy()[np.unique(keys, return_index=True)[1]]
+    return train(coded.indices.to_numpy(zero_copy_only=False), lengths, coded.dictionary.to_pylist(), keys, y, float(share))
+
+
+def score(df: DataFrame, model: Model, *, text: str = "text", out: str = "score") -> DataFrame:
+    """df with the column out (double, 0 to 1), which must be a free name."""
     at = df.columns.index(text)
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                batch = whole.slice(i, 500)
-                found = model.scores(batch.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[f.name for f in schema])
-
-    return df.mapInArrow(run, schema)
+    return with_column(df, out, T.DoubleType(), lambda batch: pa.array(model.scores(batch.column(at).to_pylist()), pa.float64()), 500)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

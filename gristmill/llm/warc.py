@@ -11,9 +11,10 @@ Reading: files are parsed record by record; segmented records are grouped by the
 identifier, ordered by segment number, checked for gaps and against the total length, and joined;
 then the transfer framing is taken off. ``problem`` says what is wrong with a record (null: nothing).
 
-Nulls: a null payload is empty, a null url is left out, a null id is the text "null" in record names and
-ranks after all numbers. Pages with the same id and payload are all responses if that id is the smallest.
-An empty table gives an archive without records, read back as no rows.
+Nulls: a null payload is empty, a null url is left out, a null id comes back as null and ranks after all
+others. Ids may be any text. Pages with the same id and payload are all responses if that id is the smallest.
+Very long payloads become many segments, which meet in one row when read. An empty table gives an archive
+without records, read back as no rows. Other columns are not looked at, whatever they are called.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -73,7 +75,7 @@ def records_of(
     page: object, uid: int, url: str | None, payload: bytes, refers: object, revisit: bool, segment_bytes: int, chunk_bytes: int
 ) -> Iterator[bytes]:
     """The records of one page, without the line ends that close them."""
-    name = lambda p, part="": f"<urn:page:{'null' if p is None else p}{part}>"
+    name = lambda p, part="": f"<urn:page:{'!' if p is None else quote(str(p), safe='')}{part}>"
     own = name(page, f":{uid}")
     url = None if url is None else "".join(c for c in url if c not in "\r\n")
     plain = len(payload) <= chunk_bytes or revisit
@@ -187,6 +189,14 @@ def read_records(spark: SparkSession, path: str, segmented: bool) -> DataFrame:
     return files.mapInArrow(run, ", ".join(f"{n} string" for n in FIELDS) + ", block binary")
 
 
+def page_of(record_id: str | None) -> str | None:
+    """The page's id in a record's name; other archives' names are given as they are."""
+    if record_id is None or not record_id.startswith("<urn:page:"):
+        return record_id
+    page = record_id.removeprefix("<urn:page:").removesuffix(">").split(":")[0]
+    return None if page == "!" else unquote(page)
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id (text), record_type, url, payload (null for revisits), payload_bytes, payload_digest, refers_to (text), problem."""
     own = [F.col(c) for c in ("record_id", "warc_type", "url", "digest", "refers")]
@@ -223,7 +233,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         n, digest = len(payload), b32_sha1(payload)
                         if row["digest"] and row["digest"] != f"sha1:{digest}":
                             problem = problem or "digest differs"
-                    ids = [None if x is None else x.strip("<>").split(":")[2] for x in (row["record_id"], row["refers"])]
+                    ids = [page_of(x) for x in (row["record_id"], row["refers"])]
                     out.append([ids[0], row["warc_type"], row["url"], payload, n, digest, ids[1], problem])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
@@ -234,12 +244,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op9_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "warc")
-    write_archives(table(spark, sf_dir, "pages"), path)
-    number = lambda c: F.expr(f"try_cast({c} as long)").alias(c)
-    return read_archives(spark, path).select(
-        number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"), "problem"
-    )
+    path, pages = scratch(spark, "warc"), table(spark, sf_dir, "pages")
+    write_archives(pages, path)
+    ids = [F.col(c).cast(pages.schema["page_id"].dataType).alias(c) for c in ("page_id", "refers_to")]
+    return read_archives(spark, path).select(ids[0], "payload_bytes", "payload_digest", "record_type", ids[1], "problem")
 
 
 OP9_SQL = """
