@@ -1,44 +1,20 @@
-"""Rules, evidence, fingerprints and what is done with findings, all as DataFrame plans."""
+"""Candidates, rules, evidence, fingerprints and what is done with findings, all as DataFrame plans."""
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import directives as D
-from ..plans.catalog import BUILT, RULES, active
-
-CASTS = ["typing.cast", "typing_extensions.cast"]
-ANYS = ["typing.Any", "typing_extensions.Any"]
-NO_CHECKS = ["typing.no_type_check", "typing_extensions.no_type_check"]
-PATCHES = ["unittest.mock.patch", "mock.patch"]
-PATCH_OBJECTS = [f"{p}.object" for p in PATCHES]
-_SCOPED = [r[0] for r in RULES if r[4]]
-
+from ..plans import catalog as C
+from . import names as N
 
-def resolve(uses: DataFrame, bindings: DataFrame, dotted: str, out: str) -> DataFrame:
-    """uses with out: the import target of a dotted name, as of its place; null where it is opaque.
-
-    The nearest scope that binds the name at all decides. There the bindings before the use must agree
-    on one target; in an enclosing scope all of its bindings count.
-    """
-    sep = F.instr(dotted, ".")
-    head = F.when(sep > 0, F.substring_index(dotted, ".", 1)).otherwise(F.col(dotted))
-    uses = uses.withColumn("__use", F.monotonically_increasing_id()).withColumn("__head", head)
-    chain = F.split("scope", "@")
-    chains = F.transform(F.sequence(F.size(chain), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(chain, F.lit(1), n), "@"))
-    chains = F.when(F.col("scope") == "module", F.array(F.lit("module"))).otherwise(F.concat(chains, F.array(F.lit("module"))))
-    steps = uses.select("__use", "path", "__head", F.col("line").alias("__l"), F.col("col").alias("__c"), F.posexplode(chains).alias("__d", "__s"))
-    b = bindings.select(F.col("path").alias("bp"), F.col("scope").alias("bs"), F.col("name").alias("bn"), F.col("target").alias("bt"), F.col("line").alias("bl"), F.col("col").alias("bc"))
-    seen = steps.join(b, (F.col("path") == F.col("bp")) & (F.col("__s") == F.col("bs")) & (F.col("__head") == F.col("bn")))
-    before = (F.struct("bl", "bc") < F.struct("__l", "__c")) | (F.col("__d") > 0)
-    state = seen.groupBy("__use", "__d").agg(
-        F.min(F.when(before, F.coalesce("bt", F.lit("")))).alias("low"), F.max(F.when(before, F.coalesce("bt", F.lit("")))).alias("high")
-    )
-    near = state.groupBy("__use").agg(F.min_by(F.struct("low", "high"), "__d").alias("n"))
-    target = F.when((F.col("n.low") == F.col("n.high")) & (F.col("n.low") != ""), F.col("n.low"))
-    rest = F.when(sep > 0, F.concat(F.lit("."), F.expr(f"substring({dotted}, instr({dotted}, '.') + 1)"))).otherwise("")
-    return uses.join(near, "__use", "left").withColumn(out, F.concat(target, rest)).drop("__use", "__head", "n")
+SCHEME = "tw-fp-2"
+FINDING = ["code", "path", "line", "col", "end_line", "end_col", "message", "fingerprint"]
 
 
 def fingerprint(prefix: str, *parts: Column) -> Column:
@@ -46,87 +22,144 @@ def fingerprint(prefix: str, *parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", F.lit(prefix), *parts), 256), 1, 16)
 
 
-def candidates(facts: DataFrame) -> DataFrame:
-    """Cast calls, type-ignore and checker-disable comments, no-type-check decorators and patch calls with fingerprint material and duplicate marks."""
-    bindings = facts.where("fact = 'binding'")
-    calls = resolve(facts.where("fact = 'call'"), bindings, "name", "callee").where(F.col("callee").isin(CASTS))
-    calls = resolve(calls, bindings, "target", "cast_to")
-    inner = calls.select(F.col("path").alias("ip"), F.col("node").alias("it"), F.col("scope").alias("isc")).distinct()
-    calls = calls.join(inner, (F.col("path") == F.col("ip")) & (F.col("value_node") == F.col("it")) & (F.col("scope") == F.col("isc")), "left")
-    outer = calls.where("it is not null").select(F.col("path").alias("op"), F.col("it").alias("ot")).distinct()
-    calls = calls.join(outer, (F.col("path") == F.col("op")) & (F.col("node") == F.col("ot")), "left")
-    calls = calls.select(
-        "path", F.lit("cast-call").alias("kind"), "node", "line", "col", "end_line", "end_col", "scope", "norm", "host", "first_line", "logical_end",
-        F.col("it").isNotNull().alias("has_child"), F.col("ot").isNotNull().alias("is_child"), "discarded", F.col("cast_to").isin(ANYS).alias("to_any"), F.lit(None).cast("string").alias("comment"),
-    )
-    comments = facts.where("fact = 'comment'")
-    ignores = comments.where(D.is_type_ignore(F.col("text"))).withColumn("kind", F.lit("type-ignore-comment")).withColumn("norm", D.ignore_norm(F.col("text")))
-    disables = comments.where((F.col("col") == 0) & D.disable_norm(F.col("text")).isNotNull())
-    disables = disables.withColumn("kind", F.lit("checker-disable-comment")).withColumn("norm", D.disable_norm(F.col("text")))
-    no = F.lit(False)
-    notes = ignores.unionByName(disables).select(
-        "path", "kind", (F.col("line") * 100000 + F.col("col")).alias("node"), "line", "col", "end_line", "end_col", F.lit("module").alias("scope"), "norm", "host",
-        "first_line", "logical_end", no.alias("has_child"), no.alias("is_child"), no.alias("discarded"), no.alias("to_any"), F.col("text").alias("comment"),
-    )
-    same = Window.partitionBy("path", "kind", "scope", "norm", "host")
-    own = ["path", "kind", "node", "line", "col", "end_line", "end_col", "scope", "norm", "host", "first_line", "logical_end"]
-    marks = resolve(facts.where("fact = 'decorator'"), bindings, "name", "callee").where(F.col("callee").isin(NO_CHECKS))
-    marks = marks.withColumn("kind", F.lit("no-type-check-decorator")).select(*own)
-    patches = resolve(facts.where("fact = 'patch'"), bindings, "name", "callee").where(F.col("callee").isin(PATCHES + PATCH_OBJECTS))
-    form = F.when(F.col("callee").isin(PATCH_OBJECTS), "patch.object").otherwise("patch")
-    given = (F.col("target") == "present") | (F.col("value_node") > F.when(form == "patch.object", 2).otherwise(1))
-    parts = (form, F.lit("|create="), F.col("text"), F.lit("|fidelity="), F.when(given, "present").otherwise("absent"), F.lit("|kwargs="), F.when(F.col("discarded"), "present").otherwise("absent"))
-    patches = patches.withColumn("kind", F.lit("mock-patch-call")).withColumn("norm", F.concat(*parts))
-    patches = patches.select(*own, (F.col("text") == "true").alias("create"), (given | F.col("discarded")).alias("decided"))
-    every = calls.unionByName(notes).unionByName(marks, allowMissingColumns=True).unionByName(patches, allowMissingColumns=True)
-    every = every.withColumn("__size", F.count(F.lit(1)).over(same)).withColumn("__at", F.row_number().over(same.orderBy("node")) - 1)
-    return every.withColumn("dup", F.when(F.col("__size") == 1, "").otherwise(F.format_string("dup:%d:%d", "__size", "__at"))).drop("__size", "__at")
-
-
-def without_evidence(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    """Rows (with code and exempt) no accepted SAFETY comment covers: one range anti-join on the logical line such a comment ends.
-
-    Exempt rows stay whatever comments say. A checker-disable comment is covered by the line above it alone.
-    """
-    notes = facts.where("fact = 'comment'").select(F.col("path").alias("ep"), F.col("logical_end").alias("key"), D.safety_codes(F.col("text")).alias("codes"), F.col("comment_only").alias("__only"))
-    notes = notes.where(F.col("codes").isNotNull())
-    above = F.col("code") == "TW007"
-    low = F.when(above, F.col("line") - 1).otherwise(F.col("first_line"))
-    high = F.when(above, F.col("line") - 1).otherwise(F.col("logical_end"))
-    named = F.array_contains(F.col("codes"), F.col("code"))
-    accepted = named | (~F.col("code").isin(_SCOPED) & (F.size("codes") == 0))
-    covers = (F.col("path") == F.col("ep")) & F.col("key").between(low, high) & accepted & (~above | F.col("__only")) & ~F.col("exempt")
-    return rows.join(notes, covers, "left_anti")
+def _has(flag: str) -> Column:
+    return F.coalesce(F.array_contains("flags", flag), F.lit(False))
 
 
-def findings(facts: DataFrame, select: set[str] | None = None, ignore: set[str] = frozenset(), prefix: str = "tw-fp-2") -> DataFrame:
-    """code, path, line, col, end_line, end_col, message, fingerprint of every rule that runs and is built.
+def candidates(facts: DataFrame, codes: list[str] = C.CODES) -> DataFrame:
+    """All candidates with what rules ask of them: met (codes whose condition holds) and always (those no comment covers).
 
-    Candidates are made once; each carries the codes whose predicate it meets, and one anti-join judges all of them.
+    Columns: path, kind, id, scope_path, line, col, end_line, end_col, low, high (lines at which evidence counts), norm, host, dup, met, always.
     """
-    is_kind = lambda k: F.col("kind") == k
-    cast, outer = is_kind("cast-call"), is_kind("cast-call") & ~F.col("is_child")
+    bound = N.bindings(facts)
+    known = N.by_fact(N.lookup(facts, bound))
+    rows = facts.where("fact IN ('call', 'decorator', 'patch', 'guard')").join(known, ["path", "fact", "id"], "left")
+    patch = F.col("callee").isin(C.MOCKS)
+    counts = {
+        "call": F.col("callee_kind") == "cast", "decorator": F.col("unchecked"), "patch": patch, "guard": F.col("returns").isin("typing.TypeGuard", "typing.TypeIs"),
+    }
+    rows = rows.where(reduce(lambda a, b: a | b, [(F.col("fact") == k) & F.coalesce(v, F.lit(False)) for k, v in counts.items()]))
+    form = F.when(F.col("callee") == "mock.patch.object", "patch.object").otherwise("patch")
+    decided = _has("fidelity") | (F.col("level") > F.when(form == "patch.object", 2).otherwise(1))
+    said = lambda c, yes: F.when(c, yes).otherwise("absent")
+    norm = F.when(
+        F.col("fact") == "patch", F.concat(form, F.lit("|create="), said(_has("create"), "true"), F.lit("|fidelity="), said(decided, "present"), F.lit("|kwargs="), said(_has("splat"), "present"))
+    ).when(F.col("fact") == "guard", F.concat_ws("|", F.substring_index("returns", ".", -1), "norm")).otherwise(F.col("norm"))
+    rows = rows.withColumn("norm", norm).withColumn("kind", F.col("fact"))
+
+    calls = rows.where("fact = 'call'").select("path", "scope", "id", "value_node")
+    inner = calls.select("path", "scope", F.col("id").alias("value_node"), F.lit(True).alias("has_child"))
+    outer = calls.join(inner, ["path", "scope", "value_node"]).select("path", "scope", F.col("value_node").alias("id"), F.lit("call").alias("fact"), F.lit(True).alias("is_child"))
+    rows = rows.join(inner, ["path", "scope", "value_node"], "left").join(outer, ["path", "fact", "scope", "id"], "left")
+    if "TW013" in codes:
+        proven = N.type_variables(bound, known).select("path", F.struct("scope", "id").alias("typevar"), F.lit(True).alias("is_typevar"))
+        rows = rows.join(proven, ["path", "typevar"], "left")
+    if "TW004" in codes:
+        wide = N.widened(bound, known).select("path", "scope", F.col("name").alias("value_name"), F.struct(F.col("line"), F.col("col")).alias("widened_at"))
+        rows = rows.join(wide, ["path", "scope", "value_name"], "left")
+
+    cast, alone = F.col("fact") == "call", (F.col("fact") == "call") & F.col("is_child").isNull()
     meets = {
-        "TW001": outer & F.col("has_child"), "TW002": outer, "TW003": is_kind("type-ignore-comment"), "TW005": cast & F.col("to_any"), "TW006": outer & F.col("discarded"),
-        "TW007": is_kind("checker-disable-comment"), "TW008": is_kind("no-type-check-decorator"), "TW009": F.col("create"), "TW012": ~F.col("decided"),
+        "TW001": alone & F.col("has_child"), "TW002": alone, "TW005": cast & (F.col("type") == "typing.Any"), "TW006": alone & _has("discarded"),
+        "TW008": F.col("fact") == "decorator", "TW009": (F.col("fact") == "patch") & _has("create"),
+        "TW010": (F.col("fact") == "guard") & _has("constant") & ~F.col("overload") & ~F.col("protocol"),
+        "TW011": alone & F.col("parser").isin(C.PARSERS) & ~F.coalesce(F.col("type_kind").isin("any", "object"), F.lit(False)),
+        "TW012": (F.col("fact") == "patch") & ~decided & ~_has("splat"),
     }
-    codes = [c for c in active(select, ignore) if c in BUILT]
-    if not codes:
-        raise ValueError("no rule is selected that is built")
-    rows = candidates(facts).withColumn("code", F.explode(F.array_compact(F.array(*[F.when(meets[c], c) for c in codes]))))
-    invalid = (F.col("code") == "TW003") & ~D.ignore_codes_valid(F.col("comment"))
-    rows = without_evidence(rows.withColumn("exempt", (F.col("code") == "TW001") | invalid), facts)
-    message = F.element_at(F.create_map(*[F.lit(x) for r in RULES for x in r[:2]]), F.col("code"))
-    return rows.select(
-        "code", "path", "line", "col", "end_line", "end_col", message.alias("message"),
-        fingerprint(prefix, *[F.col(c) for c in ("code", "path", "kind", "scope", "norm", "host", "dup")]).alias("fingerprint"),
-    )
+    if "TW013" in codes:
+        meets["TW013"] = alone & F.col("is_typevar")
+    if "TW004" in codes:
+        meets["TW004"] = cast & (F.col("widened_at") < F.struct("line", "col"))
+    columns = ["path", "kind", "id", "scope_path", "line", "col", "end_line", "end_col", "low", "high", "norm", "host"]
+    rows = rows.select(*columns, _codes(meets, codes).alias("met"), _codes({"TW001": F.lit(True)}, codes).alias("always"))
+    every = rows.unionByName(_comments(facts, columns, codes))
+    same = Window.partitionBy("path", "kind", "scope_path", "norm", "host")
+    every = every.withColumn("size", F.count(F.lit(1)).over(same)).withColumn("at", F.row_number().over(same.orderBy("id")) - 1)
+    return every.withColumn("dup", F.when(F.col("size") == 1, "").otherwise(F.format_string("dup:%d:%d", "size", "at"))).drop("size", "at")
+
+
+def _codes(meets: dict[str, Column], codes: list[str]) -> Column:
+    found = [F.when(meets[c], c) for c in codes if c in meets]
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+
+
+def _comments(facts: DataFrame, columns: list[str], codes: list[str]) -> DataFrame:
+    """Type-ignore comments, and checker-disable comments at the start of lines of the module."""
+    comments = facts.where("fact = 'comment' AND host IS NOT NULL")
+    ignores = comments.where(D.is_type_ignore(F.col("text"))).withColumn("kind", F.lit("ignore")).withColumn("norm", D.ignore_norm(F.col("text")))
+    void = ~D.ignore_codes_valid(F.col("text"))
+    unreasoned = void | D.inline_reason(F.col("text")).isNull()
+    ignores = ignores.select(*columns, _codes({"TW003": unreasoned}, codes).alias("met"), _codes({"TW003": void}, codes).alias("always"))
+    disables = comments.where((F.col("col") == 0) & (F.col("scope") == 0)).withColumn("norm", D.disable_norm(F.col("text"))).where("norm IS NOT NULL").withColumn("kind", F.lit("disable"))
+    # evidence counts on the line above alone, if that is a comment; else there is no such line
+    above = F.col("low") < F.col("line")
+    disables = disables.withColumns({"low": F.when(above, F.col("line") - 1).otherwise(1), "high": F.when(above, F.col("line") - 1).otherwise(0)})
+    return ignores.unionByName(disables.select(*columns, _codes({"TW007": F.lit(True)}, codes).alias("met"), F.array().cast("array<string>").alias("always")))
+
+
+def uncovered(rows: DataFrame, facts: DataFrame, codes: list[str]) -> DataFrame:
+    """Rows with one code each that they meet and no SAFETY comment covers.
+
+    A comment counts at the last line of its logical line. For each rule the last line up to a candidate's ``high`` at
+    which one counts is a running maximum; it covers the candidate if it isn't above ``low``. So evidence costs a sort.
+    """
+    notes = facts.where("fact = 'comment'").select("path", F.col("high").alias("at"), D.safety_codes(F.col("text")).alias("said")).where("said IS NOT NULL")
+    notes = notes.select("path", "at", F.lit(0).alias("late"), D.accepted_codes(F.col("said")).alias("counts"))
+    events = rows.where(F.size("met") > 0).withColumn("at", F.col("high")).withColumn("late", F.lit(1)).unionByName(notes, allowMissingColumns=True)
+    upto = Window.partitionBy("path").orderBy("at", "late").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = {c: F.max(F.when(F.array_contains("counts", c), F.col("at"))).over(upto) for c in codes if c in C.SUPPRESSIBLE}
+    events = events.select("*", F.struct(*[v.alias(c) for c, v in last.items()] or [F.lit(0).alias("none")]).alias("last")).where("met IS NOT NULL")
+    open_ = [F.when(F.array_contains("met", c) & (F.array_contains("always", c) | ~F.coalesce(F.col("last")[c] >= F.col("low"), F.lit(False)) if c in last else F.lit(True)), c) for c in codes]
+    return events.withColumn("code", F.explode(F.array_compact(F.array(*open_)))).drop("at", "late", "counts", "last")
+
+
+def findings(
+    facts: DataFrame, select: set[str] | frozenset[str] | None = None, ignore: set[str] | frozenset[str] = frozenset(), scheme: str = SCHEME
+) -> DataFrame:
+    """code, path, line, col, end_line, end_col, message, fingerprint of every rule that runs. Selecting nothing finds nothing."""
+    codes = C.active(select, ignore)
+    rows = candidates(facts, codes)
+    rows = uncovered(rows, facts, codes) if codes else rows.withColumn("code", F.lit("")).where("false")
+    hosts = facts.where("fact = 'host'").select("path", F.col("id").alias("host"), F.col("text").alias("host_text"))
+    rows = rows.join(hosts, ["path", "host"], "left")
+    kind, message = F.element_at(N._table(C.KIND_NAMES), F.col("kind")), F.element_at(N._table(C.MESSAGES), F.col("code"))
+    parts = [F.col("code"), F.col("path"), kind, F.col("scope_path"), F.col("norm"), F.coalesce("host_text", F.lit("")), F.col("dup")]
+    return rows.select("code", "path", "line", "col", "end_line", "end_col", message.alias("message"), fingerprint(scheme, *parts).alias("fingerprint"))
+
+
+def errors(facts: DataFrame) -> DataFrame:
+    """path, kind, message of the files that could not be analysed."""
+    return facts.where("fact = 'error'").select("path", F.col("name").alias("kind"), F.col("text").alias("message"))
+
+
+def ordered(rows: DataFrame) -> DataFrame:
+    """Findings by path, line, column, code and fingerprint."""
+    return rows.orderBy("path", "line", "col", "code", "fingerprint")
+
+
+def nfc(text: Column) -> Column:
+    """The composed form of a text; ASCII texts are one already and stay in the JVM."""
+    @F.pandas_udf("string")
+    def compose(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
+
+    return compose(text)
 
 
 def on_changed_lines(rows: DataFrame, changed: DataFrame) -> DataFrame:
-    """Findings with any line of their range among changed(path, line)."""
-    c = changed.select(F.col("path").alias("cp"), F.col("line").alias("cl"))
-    return rows.join(c, (F.col("path") == F.col("cp")) & F.col("cl").between(F.col("line"), F.col("end_line")), "left_semi")
+    """Findings with any line of their range among changed(path, line). Paths that differ only in composition are one.
+
+    The number of changed lines up to a place is a running count, so a finding costs two events, not its lines.
+    """
+    lines = changed.select(nfc(F.col("path")).alias("np"), F.col("line").cast("long").alias("at")).distinct()
+    keyed = rows.withColumn("row", F.struct(*rows.columns)).withColumn("np", nfc(F.col("path")))
+    ends = keyed.select("np", "row", F.explode(F.array(F.struct((F.col("line") - 1).cast("long").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("end_line").cast("long").alias("at"), F.lit(1).alias("sign")))).alias("e"))
+    ends = ends.select("np", "row", "e.at", "e.sign", F.lit(1).alias("late"))
+    events = lines.select("np", "at", F.lit(0).alias("late")).unionByName(ends, allowMissingColumns=True)
+    upto = Window.partitionBy("np").orderBy("at", "late").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    events = events.withColumn("n", F.sum(F.when(F.col("late") == 0, 1).otherwise(0)).over(upto)).where("row IS NOT NULL")
+    kept = events.groupBy("row").agg(F.sum(F.col("n") * F.col("sign")).alias("inside"), (F.count(F.lit(1)) / 2).cast("int").alias("times")).where("inside > 0")
+    return kept.select("row.*", F.explode(F.sequence(F.lit(1), "times")).alias("copy")).drop("copy")
 
 
 def minus_baseline(rows: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -139,17 +172,17 @@ def minus_baseline(rows: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def baseline_of(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("fingerprint").agg(F.min("code").alias("code"), F.min("path").alias("path"), F.count(F.lit(1)).alias("count"))
+    """fingerprint, code, path (of the first finding) and count, as a baseline has them."""
+    first = F.min(F.struct("path", "line", "col", "code"))
+    return rows.groupBy("fingerprint").agg(first.alias("f"), F.count(F.lit(1)).alias("count")).select("fingerprint", "f.code", "f.path", "count")
 
 
 def count_by_rule(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("code").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("path").alias("files"))
-
-
-def text_lines(rows: DataFrame) -> DataFrame:
-    """path:line:column: CODE message, columns from 1."""
-    return rows.select(F.format_string("%s:%d:%d: %s %s", "path", "line", F.col("col") + 1, "code", "message").alias("value"))
+    """Findings and files of each rule that has any, with its position in the catalog."""
+    position = F.element_at(N._table({c: k for k, c in enumerate(C.CODES)}), F.col("code"))
+    return rows.groupBy("code").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("path").alias("files")).withColumn("position", position)
 
 
-def json_lines(rows: DataFrame) -> DataFrame:
-    return rows.select(F.to_json(F.struct(*sorted(rows.columns))).alias("value"))
+def exit_codes(runs: DataFrame) -> DataFrame:
+    """runs with exit_code: 3 for a usage error, 2 for analysis errors, 1 for findings, else 0 (columns usage, errors, findings are counts)."""
+    return runs.withColumn("exit_code", F.when(F.col("usage") > 0, 3).when(F.col("errors") > 0, 2).when(F.col("findings") > 0, 1).otherwise(0))
