@@ -32,12 +32,11 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """links: u, v of one ordered type. node, root (the smallest node of its component) for every linked node but the roots."""
     links = settle(_small_star(links.where("u <> v")), "links")
-    before = None
     for _ in range(MAX_ROUNDS):
+        # stars: every node has one parent, and no parent has one
+        stars = links.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u").unionAll(links.select(F.col("v").alias("u")).join(links.select("u"), "u", "left_semi"))
+        if stars.isEmpty():
+            return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
         last, links = links, settle(_small_star(_large_star(links)), "links")
         forget(last)
-        state = tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if state == before:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
     raise RuntimeError("components did not settle")

@@ -15,10 +15,10 @@ more than the members in which two sets differ. Bitmaps decide nearly all pairs,
 
 A group (texts with one shingle among their first) gives links from its members to leaders; groups of more
 than ``SMALL`` texts are kept, each list of members once. Those that are not in one component when the leaders'
-links are judged are compared each with each by bitmaps four times as wide, and give as many pairs as would
-connect what may be similar, a few times over; after that all pairs that are in different components still.
-So a group of near copies costs its size, and no pair is left out. A group of more than ``group_rows`` texts
-is dealt in pairs of blocks, so none meets in one task.
+links are judged are compared each with each by bitmaps four times as wide. They give all pairs that are not
+refused, or, where these are very many, as many as would connect them, and are looked at again; the last time
+they give all that are in different components still. So a group of near copies costs its size, and no pair is
+left out. A group of more than ``group_rows`` texts is dealt in pairs of blocks, so none meets in one task.
 
 Texts: A-Z lower-cased, words are runs of anything but ASCII white space; a text of fewer words than a
 shingle is one shingle. Nulls and texts without words are copies of each other and of nothing else. Very long
@@ -48,8 +48,10 @@ COMMON = 200_000
 #: Texts of a group that are compared each with each at once, and from which a group is dealt in blocks.
 SMALL = 4
 GROUP_ROWS = 50_000
-#: Rounds in which groups give pairs that would connect them, before they give all that are left; width of the bitmaps then.
+#: Pairs for each text of a group from which it gives only those that would connect it, and rounds in which it may.
+MANY = 4
 FORESTS = 2
+#: Width of the bitmaps then.
 WIDE = 4
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.int64)
 
@@ -243,25 +245,39 @@ def first_round(codes: np.ndarray, n: np.ndarray, place: np.ndarray, roots: np.n
         yield np.full(len(codes), code_of(codes.tobytes()) | 1), codes, np.zeros(len(codes), np.int64)
 
 
-def second_round(codes: np.ndarray, n: np.ndarray, marks: np.ndarray, roots: np.ndarray, percent: int, forest: bool) -> Iterator[tuple]:
-    """u, v: pairs of a group in different components that no bound refuses; with forest only as many as connect the same."""
+def second_round(codes: np.ndarray, n: np.ndarray, marks: np.ndarray, roots: np.ndarray, percent: int, every: bool) -> Iterator[tuple]:
+    """g, u, v: pairs (g 0) of a group in different components that no bound refuses.
+
+    If those are many for the group's size, and not all are asked for, only as many as connect the same, and the group.
+    """
     if (roots == roots[0]).all():
         return
     order = np.argsort(n, kind="stable")
     codes, n, marks = codes[order], n[order], marks[order]
     labels = np.unique(roots[order], return_inverse=True)[1]
     ends = np.searchsorted(n, n * 100 // percent, side="right")
+    found, total, merged = [], 0, labels.copy()
     for a, b in enumerate(ends.tolist()):
         rest = np.arange(a + 1, b)
         rest = rest[labels[rest] != labels[a]]
         if not len(rest):
             continue
         rest = rest[_near(n[a], n[rest], apart(marks[a], marks[rest].tolist()), percent)]
-        if forest and len(rest):
-            met, at = np.unique(labels[rest], return_index=True)
-            rest = rest[at]
-            labels[np.isin(labels, met)] = labels[a]
-        yield np.minimum(codes[rest], codes[a]), np.maximum(codes[rest], codes[a])
+        if every:
+            yield np.zeros(len(rest), np.int64), np.minimum(codes[rest], codes[a]), np.maximum(codes[rest], codes[a])
+            continue
+        total += len(rest)
+        other = rest[merged[rest] != merged[a]]
+        met, at = np.unique(merged[other], return_index=True)
+        merged[np.isin(merged, met)] = merged[a]
+        if total > MANY * len(codes):  # what connects is enough for now
+            found = [(k, tree, tree) for k, _, tree in found]
+            rest = other[at]
+        found.append((a, rest, other[at]))
+    for a, rest, _ in found:
+        yield np.zeros(len(rest), np.int64), np.minimum(codes[rest], codes[a]), np.maximum(codes[rest], codes[a])
+    if total > MANY * len(codes):
+        yield np.array([code_of(np.sort(codes).tobytes()) | 1]), codes[:1], codes[:1]
 
 
 def _judged(df: DataFrame, text: str, pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
@@ -345,21 +361,20 @@ def _classes(df: DataFrame, key: str, text: str, width: int, percent: int, limit
     found = settle(found.unionAll(_judged(df, text, led, sets, width, percent)), "similar")
 
     # and what is left of the groups
-    forests = FORESTS
-    while forests >= 0:
+    rounds = 0
+    while True:
         known = _rooted(sets.select("code"), found)
         rooted = members.join(known, "code").select("g", "code", "root")
         open_ = rooted.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("g")
         again = rooted.join(open_, "g", "left_semi").join(sets.select("code", "n", "wide"), "code").select("g", "code", "n", "wide", "root")
-        again = _groups(again, lambda c, n, m, r, f=forests > 0: second_round(c, n, m, r, percent, f), "u long, v long", group_rows)
-        again = settle(again.distinct().join(led, ["u", "v"], "left_anti"), "pairs")
+        again = _groups(again, lambda c, n, m, r, every=rounds >= FORESTS: second_round(c, n, m, r, percent, every), "g long, u long, v long", group_rows)
+        again = settle(again, "again")
         release(df.sparkSession)
-        none = again.isEmpty()
-        if not none:
-            found = settle(found.unionAll(_judged(df, text, again, sets, width, percent)), "similar")
-            led = led.unionAll(again)
-        # a forest may consist of pairs that are judged already, so only the last round ends it
-        forests = min(forests, 1) - 1 if none else forests - 1
+        pairs = settle(again.where("g = 0").select("u", "v").distinct().join(led, ["u", "v"], "left_anti"), "pairs")
+        found = settle(found.unionAll(_judged(df, text, pairs, sets, width, percent)), "similar")
+        led, rounds = led.unionAll(pairs), rounds + 1
+        if again.where("g <> 0").isEmpty():
+            break
     return docs, _rooted(sets.select("code"), found)
 
 

@@ -331,7 +331,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     keys = sampled.column("k").combine_chunks().dictionary_encode().indices.to_numpy()
     lengths = np.diff(found.offsets.to_numpy()).astype(np.int64)
     y = sampled.column("y").to_numpy()[np.unique(keys, return_index=True)[1]]
-    return train(coded.indices.to_numpy(zero_copy_only=False), lengths, coded.dictionary.to_pylist(), keys, y, float(share))
+    flat, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    del sampled, found, coded
+    model = train(flat, lengths, distinct, keys, y, float(share))
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(df: DataFrame, model: Model, *, text: str = "text", out: str = "score") -> DataFrame:
