@@ -37,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, settle, table, utf8
+from .common import forget, release, settle, table, utf8
 
 LENGTH = 400
 #: Starts that may share an anchor, and starts in a range of the second step.
 REACH, FINE = 192, 16
 GRAM = 16
+#: Ranges with one core from which it counts as hot; so many hot cores may be broadcast (8 bytes each).
+HOT_ROWS, MOST_HOT = 20_000, 1_000_000
 #: Tasks over which the surroundings of one core are dealt.
 SALTS = 16
 #: Starts of a text worked on at once.
@@ -149,8 +151,17 @@ def covered(n_bytes: int, begin: np.ndarray, end: np.ndarray) -> list[tuple[int,
 
 def _judged(ranges: DataFrame, name: str) -> DataFrame:
     """rid, place, weight, bad, open of the ranges (rid, place, weight, core, whole) whose core is not unique."""
-    often = ranges.groupBy("core").agg(F.sum("weight").alias("n")).where("n > 1").select(F.col("core").alias("c"))
-    ranges = settle(ranges.join(often, F.col("core") == F.col("c"), "left_semi"), name)
+    often = settle(ranges.groupBy("core").agg(F.sum("weight").alias("n")).where("n > 1").select(F.col("core").alias("c"), "n"), "often")
+    # ranges of very frequent cores need no look-up among all: there are few such cores, so they are told apart without a shuffle
+    hot, same = often.where(F.col("n") > HOT_ROWS).select("c"), F.col("core") == F.col("c")
+    n_hot = hot.count()
+    if 0 < n_hot <= MOST_HOT:
+        hot = F.broadcast(hot)
+        kept = ranges.join(hot, same, "left_semi").unionAll(ranges.join(hot, same, "left_anti").join(often, same, "left_semi"))
+    else:
+        kept = ranges.join(often, same, "left_semi")
+    ranges = settle(kept, name)
+    forget(often)
     release(ranges.sparkSession)
     equal = ranges.groupBy("core", "whole").agg(F.sum("weight").alias("n"), F.min(F.struct("rid", "place")).alias("speaker"))
     single = equal.groupBy("core").agg(F.min("n").alias("least")).where("least = 1")
