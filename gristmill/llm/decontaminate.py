@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_TABLE, quoted, table, utf8, with_column, worker_cache
+from .common import ALNUM_TABLE, ALNUM_WORD, LOWER, UPPER, quoted, table, utf8, with_column, worker_cache
 
 WIDTH = 8
 #: Normalised bytes in one automaton; about 300 MB of trie at most.
@@ -190,3 +190,24 @@ def brute_force(text: str | None, items: list[tuple[str, str]], width: int = WID
                     found |= {item} - {None}
     digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
     return len(words), len(hit), len(found), digest, len(found) >= MIN_ITEMS
+
+
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ALNUM_WORD}')"
+OP10_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents
+), b AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, n, g FROM (
+    SELECT item, least({WIDTH}, len(w)) AS n,
+           unnest(list_transform(range(1, greatest(1, len(w) - {WIDTH - 1}) + 1), lambda i: array_to_string(w[i:i + least({WIDTH}, len(w)) - 1], ' '))) AS g
+    FROM b WHERE len(w) > 0)
+), grams AS (
+  SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM d, (SELECT DISTINCT n FROM windows), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)
+), hits AS (SELECT rid, i, n, item FROM grams JOIN windows USING (n, g)
+), marked AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hits) GROUP BY rid
+), found AS (SELECT rid, list_sort(list(DISTINCT item)) AS items FROM hits WHERE item IS NOT NULL GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(len(items), 0) >= {MIN_ITEMS} AS contaminated
+FROM d LEFT JOIN marked USING (rid) LEFT JOIN found USING (rid)
+"""

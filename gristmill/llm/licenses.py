@@ -136,8 +136,8 @@ def _fold(text: Column) -> Column:
     return F.when(text.isNull(), "").when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def template_grams(spark: SparkSession, templates: dict[str, list[str]], gram: int) -> DataFrame:
-    """th (hash), template, label, length, at, words of every gram, and a row of nulls but th = 0."""
+def gram_rows(templates: dict[str, list[str]], gram: int) -> list[str]:
+    """Rows of SQL values: template, label, length, at, words of every gram."""
     rows = []
     for label, texts in templates.items():
         for k, text in enumerate(texts):
@@ -145,7 +145,12 @@ def template_grams(spark: SparkSession, templates: dict[str, list[str]], gram: i
             if len(words) < gram:
                 raise ValueError(f"template of {label} is shorter than {gram} words")
             rows += [f"('{label}/{k}', '{label}', {len(words)}, {i}, '{' '.join(words[i : i + gram])}')" for i in range(len(words) - gram + 1)]
-    df = spark.sql(f"SELECT * FROM VALUES {', '.join([*rows, '(NULL, NULL, NULL, NULL, NULL)'])} AS t(template, label, length, at, words)")
+    return rows
+
+
+def template_grams(spark: SparkSession, templates: dict[str, list[str]], gram: int) -> DataFrame:
+    """th (hash), template, label, length, at, words of every gram, and a row of nulls but th = 0."""
+    df = spark.sql(f"SELECT * FROM VALUES {', '.join([*gram_rows(templates, gram), '(NULL, NULL, NULL, NULL, NULL)'])} AS t(template, label, length, at, words)")
     parts = F.split("words", " ")
     return df.withColumn("th", F.when(F.col("words").isNull(), F.lit(0)).otherwise(F.xxhash64(*[F.get(parts, F.lit(k)) for k in range(gram)])))
 
@@ -245,3 +250,34 @@ def brute_force(text: str | None, templates: dict[str, list[str]], phrases: dict
                 if len(part) >= (len(own) if len(own) < SHORT else cover * len(own)):
                     labels.add(label)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels))
+
+
+def _sql() -> str:
+    """The query's rows by strings instead of hashes."""
+    phrase = "list_filter(range(len(w)), lambda i: array_to_string(w[i + 1:i + {n}], ' ') = '{p}')"
+    places = ", ".join(phrase.format(n=len(p.split()), p=p) for p in PHRASES)
+    base = ", ".join(f"CASE WHEN len({phrase.format(n=len(p.split()), p=p)}) > 0 THEN '{v}' END" for p, v in PHRASES.items())
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ALNUM_WORD}') AS w FROM documents
+), info AS (
+  SELECT rid, doc_id, len(w)::BIGINT AS n_words, flatten([{places}]) AS spots, list_sort(list_distinct(list_filter([{base}], lambda x: x IS NOT NULL))) AS base FROM d
+), grams AS (SELECT rid, i, array_to_string(w[i + 1:i + {GRAM}], ' ') AS g FROM d, LATERAL (SELECT unnest(range(len(w) - {GRAM - 1})) AS i)
+), votes AS (
+  SELECT rid, template, label, length, i, j, i - j AS d FROM grams JOIN (VALUES {", ".join(gram_rows(TEMPLATES, GRAM))}) AS t(template, label, length, j, g) USING (g)
+), marked AS (
+  SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY rid, template ORDER BY d, j) > {MERGE} THEN 1 ELSE 0 END AS far FROM votes
+), parted AS (SELECT *, sum(far) OVER (PARTITION BY rid, template ORDER BY d, j ROWS UNBOUNDED PRECEDING) AS part FROM marked
+), covered AS (
+  SELECT rid, template, label, length, part, count(DISTINCT p) AS n FROM (SELECT *, unnest(range(j, j + {GRAM})) AS p FROM parted) GROUP BY ALL
+), found AS (
+  SELECT rid, list(DISTINCT label) AS labels, max(n / length) AS score FROM covered
+  WHERE n >= CASE WHEN length < {SHORT} THEN length ELSE length * {COVER}::DOUBLE END GROUP BY rid
+)
+SELECT doc_id, n_words, len(spots)::BIGINT AS n_base, list_min(spots)::BIGINT AS first_word, list_max(spots)::BIGINT AS last_word, array_to_string(base, ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(base, coalesce(labels, [])))), ',') AS labels, CASE WHEN len(base) > 0 THEN 1 ELSE coalesce(score, 0) END::DOUBLE AS score
+FROM info LEFT JOIN found USING (rid)
+"""
+
+
+OP7_SQL = _sql()

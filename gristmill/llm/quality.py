@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, quoted, settle, table, utf8, with_column
+from .common import LOWER, UPPER, WORD, free_name, quoted, settle, table, utf8, with_column
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -201,3 +201,32 @@ def brute_force(text: str | None) -> tuple[int, int, int, int, int, bool]:
         n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit),
         n < 10 or 100 * len(hit) > 20 * n,
     )
+
+
+OP3_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
+), grams AS (
+  SELECT rid, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - {WINDOW - 2})) AS i)
+), twice AS (SELECT rid, i FROM grams QUALIFY count(*) OVER (PARTITION BY rid, g) > 1
+), repeated AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + {WINDOW})) AS p FROM twice) GROUP BY rid
+), lines AS (SELECT rid, source, unnest(string_split(t, chr(10))) AS line FROM d
+), doubled AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '{WORD}') GROUP BY rid
+), plain AS (
+  SELECT rid, source, array_to_string(lw, ' ') AS line, sum(len(lw)) AS words
+  FROM (SELECT rid, source, regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '{WORD}') AS lw FROM lines) WHERE len(lw) > 0 GROUP BY ALL
+), named AS (SELECT rid, source, md5(t) || coalesce(doc_id::VARCHAR, '-') AS document FROM d
+), hosts AS (SELECT source, count(DISTINCT document) AS documents FROM named GROUP BY source
+), often AS (
+  SELECT p.source, line FROM plain p JOIN named USING (rid) JOIN hosts h ON p.source IS NOT DISTINCT FROM h.source
+  GROUP BY p.source, line, h.documents HAVING count(DISTINCT document) > {MAX_DOCUMENTS} AND count(DISTINCT document) * 100 > h.documents * {MAX_PERCENT}
+), removed AS (
+  SELECT rid, sum(words) AS n FROM plain p JOIN often o ON p.source IS NOT DISTINCT FROM o.source AND p.line = o.line GROUP BY rid
+), counted AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(doubled.n, 0)::BIGINT AS n_dup_lines,
+         coalesce(repeated.n, 0)::BIGINT AS n_repeat_words, coalesce(removed.n, 0)::BIGINT AS n_removed_words
+  FROM d LEFT JOIN doubled USING (rid) LEFT JOIN repeated USING (rid) LEFT JOIN removed USING (rid)
+), failed AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, n_words - n_removed_words AS rest FROM counted)
+SELECT * EXCLUDE (rest), NOT base_failed AND NOT (n_removed_words > 0 AND (rest < {MIN_WORDS} OR rest < n_words * {MIN_LEFT}::DOUBLE)) AS kept FROM failed
+"""

@@ -1,15 +1,17 @@
+import os
 import random
 import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gristmill.llm import decontaminate, licenses, mixing, quality, shards, similar, simhash, suffixes, tokens, toxicity, warc
+from gristmill.llm import decontaminate, licenses, mixing, quality, queries, shards, similar, simhash, suffixes, tokens, toxicity, warc
 from gristmill.llm.graph import components
 
 RNG = random.Random(3)
@@ -525,3 +527,15 @@ def test_mixing_of_whole_documents_comes_near_its_targets(spark):
     for (_, goal), taken in by.items():
         by_target[goal] = by_target.get(goal, 0) + sum(taken)
     assert abs(sum(by_target.values()) - sum(r["size"] for r in got)) <= 7 * 6
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_queries_match_sql(spark, name):
+    db = duckdb.connect()
+    for table in ("documents", "benchmark", "pages"):
+        path = f"/root/testdata/sf0.001/{table}.parquet"
+        db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{path}/*.parquet'" if os.path.isdir(path) else f"CREATE VIEW {table} AS SELECT * FROM '{path}'")
+    want = db.sql(queries.SQL[name])
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").select(*[F.col(f"`{c}`") for c in want.columns]).collect()
+    order = lambda rows: sorted(rows, key=lambda r: tuple((v is None, str(v)) for v in r))
+    assert order(map(tuple, got)) == order(want.fetchall())
