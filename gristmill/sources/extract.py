@@ -666,7 +666,11 @@ def facts(sources: DataFrame, max_bytes: int | None = None) -> DataFrame:
             if rows:
                 yield _packed(rows)
 
-    return sources.select("path", "content" if raw else "text").mapInArrow(run, SCHEMA)
+    rows = sources.select("path", "content" if raw else "text")
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # parsing costs far more than moving a few texts
+        rows = rows.repartition(4 * cores, "path")
+    return rows.mapInArrow(run, SCHEMA)
 
 
 def _packed(rows: list[dict]) -> pa.RecordBatch:
