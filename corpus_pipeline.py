@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import decontaminate, mixing, shards, similar, toxicity
-from gristmill.llm.common import free_name, settle, table, unpacked
+from gristmill.llm.common import forget, free_name, settle, table, unpacked
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,6 +65,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        made = settle(stage(spark, docs, sf_dir), name)
+        if k:
+            forget(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
