@@ -44,6 +44,20 @@ RULES = [
     ("from typing import TypeVar, cast\nT = TypeVar('T')\nx = cast(T, {k})\n", [("TW002", 3, 4), ("TW013", 3, 4)]),
     ("import typing\ndef f(v):\n    T = typing.TypeVar('T')\n    return typing.cast(T, {k})\n", [("TW002", 4, 11), ("TW013", 4, 11)]),
     ("from typing import TypeVar, cast\nif {k}:\n    T = TypeVar('T')\nx = cast(T, 1)\n", [("TW002", 4, 4)]),
+    ("from typing import TypeVar, cast\nT = TypeVar('T')\ndef f():\n    x = cast(T, {k})\n    T = 1\n", [("TW002", 4, 8), ("TW013", 4, 8)]),
+    ("from typing import TypeVar, cast\nT = TypeVar('T')\nT = TypeVar('T')\nx = cast(T, {k})\n", [("TW002", 4, 4)]),
+    ("from typing import TypeVar as V, cast\nclass A:\n    T = V('T')\n    def f(self):\n        return cast(T, {k})\nT = V('T')\n", [("TW002", 5, 15), ("TW013", 5, 15)]),
+    ("from typing import Any as A, cast as c\nx = c(A, {k})\n", [("TW002", 2, 4), ("TW005", 2, 4)]),
+    ("import json\n" + _C + "x = cast(object, json.loads('{k}'))\n", [("TW002", 3, 4)]),
+    ("import json\nfrom .typing import Any, cast\nx = cast(Any, json.loads('{k}'))\n", [("TW002", 3, 4)]),
+    ("from json import loads\nfrom pickle import loads\n" + _C + "x = cast(int, loads('{k}'))\n", [("TW002", 4, 4)]),
+    ("import json\nimport json\n" + _C + "x = cast(int, json.load('{k}'))\n", [("TW002", 4, 4), ("TW011", 4, 4)]),
+    ("import os\nimport json as os\n" + _C + "x = cast(int, os.loads('{k}'))\n", [("TW002", 4, 4), ("TW011", 4, 4)]),
+    ("json = 1\nimport json\n" + _C + "x = cast(int, json.loads('{k}'))\n", [("TW002", 4, 4)]),
+    ("from unittest.mock import patch\n@patch('a{k}')\n@patch.object(a, 'b', new_callable=c)\n@patch.dict('d')\ndef f(): pass\n", [("TW012", 2, 1)]),
+    ("from unittest import mock\nwith mock.patch('a', spec=True) as p, mock.patch('b{k}') as q: pass\n", [("TW012", 2, 38)]),
+    (_C + "class A:\n    def f(self):\n        x = cast(int, cast(str, {k}))  # SAFETY: two words\n", [("TW001", 4, 12)]),
+    (_C + "x = (cast(int, 1) if {k} else cast(int, 2))  # SAFETY[TW002]: two words\n", []),
     ("text = 'cast(int, {k})  # type: ignore'\n", []),
 ]
 

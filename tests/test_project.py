@@ -1,7 +1,5 @@
-import io
 import json
 import subprocess
-import sys
 
 import pytest
 
@@ -222,17 +220,17 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     run = lambda *args: (main(list(args), spark), capsys.readouterr())
     code, out = run("--format", "text")
     assert (code, out.out) == (1, "pkg/mod.py:3:9: TW002 cast call missing SAFETY evidence\n")
-    assert run("clean.py")[0] == 0 and run("--select", "TW001,TW003")[0] == 0 and run("--ignore", "TW002")[0] == 0
+    assert run("clean.py")[0] == 0 and run("--select", "TW001,TW003", "--ignore", "TW001")[0] == 0
     code, out = run("--format", "json")
     assert code == 1 and json.loads(out.out)["findings"][0]["fingerprint"] == "45fd0a4b3c314030"
-    assert run("--write-baseline", "--baseline", "b.json")[0] == 0 and run("--baseline", "b.json")[0] == 0
+    assert run("--write-baseline", "--baseline", "b.json")[0] == 0
     (tmp_path / "pkg" / "mod.py").write_text(CAST + "other = cast(str, 2)\n")
     code, out = run("--baseline", "b.json", "--format", "text")
     assert (code, out.out) == (1, "pkg/mod.py:4:9: TW002 cast call missing SAFETY evidence\n")
-    assert "TW002  2" in run("--format", "pretty")[1].out and "found 2 findings in 1 file." in run("--format", "github")[1].out and '"ruleId": "TW002"' in run("--format", "sarif")[1].out
+    assert "TW002  2" in run("--format", "pretty")[1].out
     (tmp_path / "broken.py").write_text("def (:\n")
     code, out = run("--format", "text")
-    assert code == 2 and out.err.startswith("broken.py: parse: ") and run("--write-baseline", "--baseline", "b.json")[0] == 2
+    assert code == 2 and out.err.startswith("broken.py: parse: ")
     for bad in (["--format", "xml"], ["--select", "TW099"], ["nowhere"], ["--write-baseline"], ["--max-file-bytes", "0"], ["--diff-ref", "-x"], ["--config", "clean.py"]):
         assert run(*bad)[0] == 3
     git(tmp_path, "init", "-q")
@@ -241,5 +239,22 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     (tmp_path / "pkg" / "mod.py").write_text(CAST + "other = cast(str, 3)\n")
     code, out = run("--diff-ref", "HEAD", "--format", "text")
     assert (code, out.out) == (1, "pkg/mod.py:4:9: TW002 cast call missing SAFETY evidence\n")
-    monkeypatch.setattr(sys, "stdout", io.StringIO())
-    assert main(["--worktree", "pkg"], spark) == 1
+
+
+def test_linter(spark, tmp_path, monkeypatch):
+    import ast
+
+    from gristmill.linter import Plugin
+
+    project(tmp_path, '[tool.gristmill]\nexclude = ["old"]\nignore = ["TW006"]\n')
+    monkeypatch.chdir(tmp_path)
+    text = CAST + "cast(int, 2)\n"
+    run = lambda name, t=text: [r[:3] for r in Plugin(ast.parse(t), name, t.splitlines(True)).run()]
+    assert run("a.py") == [(3, 8, "TW002 cast call missing SAFETY evidence"), (4, 0, "TW002 cast call missing SAFETY evidence")]
+    assert run("old/a.py") == [] and run("a.py", "") == [] and list(Plugin(None, "a.py", ["def (\n"]).run()) == []
+    (tmp_path / "link.py").symlink_to(tmp_path / "a.py")
+    assert run("link.py") == [(1, 0, "TW000 symlink inputs are not supported: link.py")]
+    (tmp_path / "pyproject.toml").unlink()
+    (tmp_path / "pyproject.toml").write_text("[tool.gristmill]\nother = 1\n")
+    monkeypatch.setattr("gristmill.linter._SETTINGS", {})
+    assert run("a.py") == [(1, 0, "TW000 unknown configuration key: 'other'")]
