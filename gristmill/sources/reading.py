@@ -144,9 +144,10 @@ def read_files(spark: SparkSession, project: Project, paths: list[str], max_byte
         raise ProjectError("max-file-bytes must be a positive integer")
     if not paths:
         return spark.createDataFrame([], "path string, content binary"), spark.createDataFrame([], "path string, kind string, message string")
-    read = spark.read.format("binaryFile").load([(project.root / p).as_uri() for p in paths])
-    root = project.root.as_uri().rstrip("/") + "/"
-    path = F.url_decode(F.replace(F.substring("path", len(root.replace("file:///", "file:/")) + 1, 1 << 30), F.lit("+"), F.lit("%2B")))
+    # signs that Hadoop would expand stand for themselves
+    names = [re.sub(r"([\[\]{}*?\\])", r"\\\1", str(project.root / p)) for p in paths]
+    read = spark.read.format("binaryFile").load([f"file:{n}" for n in names])
+    path = F.substring("path", len(f"file:{project.root.as_posix().rstrip('/')}/") + 1, 1 << 30)
     small = read.where(F.col("length") <= max_bytes).select(path.alias("path"), "content")
     message = F.concat(F.lit(f"source file exceeds max-file-bytes ({max_bytes}): "), path)
     large = read.where(F.col("length") > max_bytes).select(path.alias("path"), F.lit("limit").alias("kind"), message.alias("message"))
