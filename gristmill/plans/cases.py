@@ -168,3 +168,11 @@ DIRECTIVES = [
 
 #: Files that cannot be analysed, and the kind of the error; null for those that can.
 BROKEN = [("def (:{k}\n", "parse"), ("x = '\0{k}'\n", "encode"), ("x = {k}\n", None), ("if 1:\nx = {k}\n", "parse"), ("(" * 3000 + "{k}" + ")" * 3000, "parse"), ("", None)]
+
+#: Contents of files: bytes, kind of the error (null: none), characters of the text.
+CONTENTS = [
+    (b"x = 1\n", None, 6), ("x = 'é'\n".encode(), None, 8), ("# coding: latin-1\nx = 'é'\n".encode("latin-1"), None, 26), (b"\xef\xbb\xbfx = 1\r\n", None, 7),
+    (b"x = '\xff'\n", "encode", None), (b"# coding: nonsense\n", "encode", None), (b"\xef\xbb\xbf# coding: latin-1\n", "encode", None), (b"#" * 2000, "limit", None), (b"x\n" * 600, "limit", None), (b"", None, 0),
+]
+#: Names, and how a report shows them.
+NAMES = [("plain.py", "plain.py"), ("a\tb\n.py", "a\\x09b\\x0a.py"), ("\x1b[31m\x7f\x85", "\\x1b[31m\\x7f\\x85"), ("a\u202eb\u200d\ufeff", "a\\u202eb\\u200d\\ufeff"), ("\u2028é日😀\xad", "\\u2028é日😀\\u00ad")]

@@ -18,7 +18,7 @@ from ..operators import reports as R
 from ..sources import baseline as B
 from ..sources import git as G
 from ..sources.extract import facts
-from ..sources.reading import excluded, is_python
+from ..sources.reading import decoded, excluded, is_python
 from ..store import settled
 from . import cases, catalog
 
@@ -264,10 +264,41 @@ def rule_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.mismatch(spark, [c for c in catalog.CODES if c != "TW007"] + ["TW099"])
 
 
+def audit_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results of a SARIF document."""
+    rows = O.findings(_facts(spark, sf_dir, "customer", "c_custkey", TEST_TEMPLATES), select={"TW008", "TW012"})
+    return R.sarif_results(rows).select("value")
+
+
+def audit_linter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as a linter takes them."""
+    rows = O.findings(_facts(spark, sf_dir, "customer", "c_custkey", [t for t, _ in cases.SCOPES]))
+    return R.linter_rows(rows).select(_long("line"), _long("column"), "text")
+
+
+def audit_error_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines for files with null bytes; other messages differ from one Python to another."""
+    errors = O.errors(_facts(spark, sf_dir, "supplier", "s_suppkey", [t for t, _ in cases.BROKEN])).where("kind = 'encode'")
+    return R.error_lines(errors).select("value")
+
+
+def decoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of several encodings and sizes, read within limits of bytes and lines."""
+    content = F.element_at(F.array(*[F.lit(c[0]) for c in cases.CONTENTS]), (F.col("s_suppkey") % len(cases.CONTENTS)).cast("int") + 1)
+    files = _table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("f"), "s_suppkey").alias("path"), content.alias("content"))
+    read = decoded(files, 1500, 500)
+    return read.select("s_suppkey", "kind", F.length("text").cast("long").alias("n_chars"))
+
+
+def shown_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with signs that a terminal would act on or hide."""
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", L.escaped(_pick([n for n, _ in cases.NAMES], "s_suppkey")).alias("shown"))
+
+
 _ALL = [
     audit_findings, audit_tests, audit_counts, audit_changed_lines, audit_rules, audit_scopes, audit_ignores, audit_selection, audit_errors, audit_report, audit_json,
     audit_baseline, audit_top, audit_snippets, baseline_rest, line_counts, line_offsets, normalized_texts, directives, evidence_counts, diff_lines, baseline_documents,
-    exit_codes, discovered_paths, rule_catalog, rule_mismatch,
+    exit_codes, discovered_paths, rule_catalog, rule_mismatch, audit_sarif, audit_linter, audit_error_lines, decoded_files, shown_names,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -373,5 +404,20 @@ FROM (SELECT num, 'TW' || lpad(num::VARCHAR, 3, '0') AS code,
   ['no-chained-cast', 'cast-needs-evidence', 'typed-ignore-needs-evidence', 'no-widen-then-cast', 'cast-to-any', 'discarded-cast', 'checker-disable-needs-evidence',
    'no-type-check-needs-evidence', 'mock-patch-create-needs-evidence', 'constant-type-guard', 'unvalidated-boundary-cast', 'mock-patch-needs-spec', 'cast-to-typevar'][num] AS name
   FROM (SELECT unnest(range(1, 14))::INT AS num))""",
+    "audit_sarif": """
+SELECT '{"level":"' || CASE code WHEN 'TW012' THEN 'note' ELSE 'warning' END || '","locations":[{"physicalLocation":{"artifactLocation":{"uri":"' || path || '","uriBaseId":"SRCROOT"},"region":{"endColumn":' || last
+       || ',"endLine":3,"startColumn":' || CASE code WHEN 'TW008' THEN 2 ELSE 1 END || ',"startLine":3}}}],"message":{"text":"'
+       || CASE code WHEN 'TW008' THEN 'no_type_check decorator missing SAFETY evidence' ELSE 'mock patch call missing explicit fidelity decision' END
+       || '"},"partialFingerprints":{"value":"' || substr(sha256('tw-fp-2|' || code || '|' || path || '|' || material || '|'), 1, 16) || '"},"ruleId":"' || code || '"}' AS value
+FROM (SELECT 'pkg/m' || c_custkey || '.py' AS path, CASE c_custkey % 6 WHEN 0 THEN 'TW008' ELSE 'TW012' END AS code,
+      CASE c_custkey % 6 WHEN 0 THEN 15 WHEN 1 THEN length('p(, create=True)') + length(c_custkey::VARCHAR) + 1 ELSE length('mock.patch()') + length(c_custkey::VARCHAR) + 1 END AS last,
+      CASE c_custkey % 6 WHEN 0 THEN 'no-type-check-decorator|module|no_type_check|function|f' || c_custkey || '|OP:@ NAME:no_type_check'
+        WHEN 1 THEN 'mock-patch-call|module|patch|create=true|fidelity=absent|kwargs=absent|NAME:p OP:( NUMBER:' || c_custkey || ' OP:, NAME:create OP:= NAME:True OP:)'
+        ELSE 'mock-patch-call|module|patch|create=absent|fidelity=absent|kwargs=absent|NAME:mock OP:. NAME:patch OP:( NUMBER:' || c_custkey || ' OP:)' END AS material
+      FROM customer WHERE c_custkey % 6 < 3)""",
+    "audit_linter": f"SELECT line, col AS \"column\", code || ' cast call missing SAFETY evidence' AS text FROM ({_expected(cases.SCOPES)})",
+    "audit_error_lines": f"SELECT 'pkg/m' || s_suppkey || '.py: encode: source contains null bytes' AS value FROM supplier WHERE s_suppkey % {len(cases.BROKEN)} = 1",
+    "decoded_files": f"SELECT s_suppkey, kind, n::BIGINT AS n_chars FROM supplier JOIN {_values([(m, k, n) for m, (_, k, n) in enumerate(cases.CONTENTS)], 'm, kind, n').replace('NULL::VARCHAR)', 'NULL)')} ON s_suppkey % {len(cases.CONTENTS)} = m",
+    "shown_names": f"SELECT s_suppkey, shown FROM supplier JOIN {_values([(m, s) for m, (_, s) in enumerate(cases.NAMES)], 'm, shown')} ON s_suppkey % {len(cases.NAMES)} = m",
     "rule_mismatch": "SELECT * FROM (VALUES ('TW007', 'missing'), ('TW099', 'unknown')) AS v(code, problem)",
 }

@@ -154,10 +154,17 @@ def read_files(spark: SparkSession, project: Project, paths: list[str], max_byte
     return small, large
 
 
+def decoded(files: DataFrame, max_bytes: int = DEFAULT_BYTES, max_lines: int = MOST_LINES) -> DataFrame:
+    """files(path, content, ...) with text, or kind and message of what is wrong, instead of the content."""
+
+    @F.pandas_udf("text string, kind string, message string")
+    def run(paths: pd.Series, contents: pd.Series) -> pd.DataFrame:
+        rows = [decode(p, c, max_bytes, max_lines) for p, c in zip(paths, contents, strict=True)]
+        return pd.DataFrame([(t, *(e or (None, None))) for t, e in rows], columns=["text", "kind", "message"])
+
+    return files.withColumn("read", run("path", "content")).select(*[c for c in files.columns if c != "content"], "read.*")
+
+
 def texts(files: DataFrame, max_bytes: int = DEFAULT_BYTES) -> DataFrame:
     """path, text of files(path, content) that can be decoded."""
-    @F.pandas_udf("string")
-    def run(paths: pd.Series, contents: pd.Series) -> pd.Series:
-        return pd.Series([decode(p, c, max_bytes)[0] for p, c in zip(paths, contents, strict=True)])
-
-    return files.select("path", run("path", "content").alias("text")).where("text IS NOT NULL")
+    return decoded(files.select("path", "content"), max_bytes).where("text IS NOT NULL").select("path", "text")
