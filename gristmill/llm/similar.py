@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, quoted, release, settle
+from .common import forget, give_back, quoted, release, settle
 from .graph import components
 from .simhash import LIMIT, first_of_groups, line_of, links, majority, shingle_hashes, text_digest
 
@@ -53,7 +53,9 @@ MANY = 4
 FORESTS = 2
 #: Width of the bitmaps then.
 WIDE = 4
-_BITS = np.array([bin(i).count("1") for i in range(256)], np.int64)
+#: Bytes of bitmaps compared at once, and bytes of sets held.
+CHUNK = 1 << 20
+HELD = 32 << 20
 
 
 def code_of(line: bytes) -> int:
@@ -101,10 +103,11 @@ def apart(one: bytes, others: list[bytes]) -> np.ndarray:
         at = np.flatnonzero(sizes == size)
         least = min(size, own.shape[1])
         mine = _fold(own, least)
-        for i in range(0, len(at), 4096):
-            part = at[i : i + 4096]
+        rows = max(1, CHUNK // size)
+        for i in range(0, len(at), rows):
+            part = at[i : i + rows]
             theirs = _fold(np.frombuffer(b"".join([others[k] for k in part.tolist()]), np.uint8).reshape(len(part), size), least)
-            out[part] = _BITS[theirs ^ mine].sum(axis=1)
+            out[part] = np.bitwise_count((theirs ^ mine).view(np.uint64)).sum(axis=1, dtype=np.int64)
     return out
 
 
@@ -169,6 +172,7 @@ def sketches(df: DataFrame, key: str, text: str, width: int, percent: int, commo
                     rows.append((fp - (1 << 64) if fp >> 63 else fp, len(found), bitmap(found), bitmap(found, WIDE), prefix(found, common, percent)))
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(codes, pa.int64()), *columns], names=names)
+        give_back()
 
     names = ["k", "th", "code", "fp", "n", "marks", "wide", "first"]
     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
@@ -222,6 +226,7 @@ def _groups(rows: DataFrame, judge: Callable, schema: str, group_rows: int) -> D
             held = [c[cut:] for c in columns]
         if held is not None:
             yield from judged(held)
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
@@ -291,13 +296,19 @@ def _judged(df: DataFrame, text: str, pairs: DataFrame, sets: DataFrame, width:
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
+        size = 0
 
         def of(code: int, line: pa.Scalar) -> np.ndarray:
-            if code not in held:
-                if len(held) >= 1000:
+            nonlocal size
+            found = held.get(code)
+            if found is None:
+                found = shingles(line.as_py(), width)
+                if size + found.nbytes > HELD:
                     held.clear()
-                held[code] = shingles(line.as_py(), width)
-            return held[code]
+                    size = 0
+                held[code] = found
+                size += found.nbytes
+            return found
 
         for batch in batches:
             us, vs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -307,6 +318,8 @@ def _judged(df: DataFrame, text: str, pairs: DataFrame, sets: DataFrame, width:
                 both = int(_within(a, b).sum())
                 good.append(both * 100 >= percent * (len(a) + len(b) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+        held.clear()
+        give_back()
 
     one = sets.select(F.col("code").alias("u"), F.col("n").alias("a"), F.col("marks").alias("x"))
     two = sets.select(F.col("code").alias("v"), F.col("n").alias("b"), F.col("marks").alias("y"))

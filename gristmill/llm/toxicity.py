@@ -7,8 +7,8 @@ the whole text; a document's logit is its largest, put on a probability scale by
 
 Training is multiple-instance: each round scores all windows of the sample and learns from the largest
 of every document. The sample is bounded: ``SAMPLE`` labelled rows of each class, in hash order, and of each
-``SAMPLE_WORDS`` words: of a longer text runs of ``RUN_WORDS`` words at even distances. Executors cut and
-split the texts, so the driver gets words of the sample alone. Rows that are held out (crc32 of the id mod 4 is 2) are never learnt
+``SAMPLE_WORDS`` words: of a longer text runs of ``RUN_WORDS`` words at even distances. A task on an executor
+trains; the driver gets the parameters alone. Rows that are held out (crc32 of the id mod 4 is 2) are never learnt
 from, and only the text is an input.
 
 Nulls, empty texts and texts without words score 0. Without labels of both classes every text scores
@@ -29,13 +29,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_TABLE, md5_long, quoted, table, utf8, with_column
+from .common import ALNUM_TABLE, give_back, md5_long, quoted, table, utf8, with_column
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, EMBED, ATTEND = 8, 8, 8
 WORD_ROWS = CHAR_ROWS = 1 << 16
 GRAM = 4
-SAMPLE = 1000
+SAMPLE = 1500
 SAMPLE_WORDS, RUN_WORDS = 8192, 256
 ROUNDS, BATCH, RATE = 5, 128, 0.01
 THRESHOLD = 0.3
@@ -63,16 +63,21 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows = np.array([zlib.crc32(w) for w in words], np.int64) % WORD_ROWS
     if not words:
         return rows, rows, rows
-    buffer = np.frombuffer(b"".join([b"<%s>" % w for w in words]), np.uint8).astype(np.uint64)
-    of = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
-    n = max(0, len(buffer) - GRAM + 1)
-    keys = np.zeros(n, np.uint64)
-    for k in range(GRAM):
-        keys = keys * np.uint64(0x100000001B3) + buffer[k : k + n] + np.uint64(1)
-    inside = of[:n] == of[GRAM - 1 : GRAM - 1 + n]
-    keys = keys[inside]
-    keys ^= keys >> np.uint64(23)
-    return rows, (keys % np.uint64(CHAR_ROWS)).astype(np.int64), of[:n][inside]
+    keys_of, words_of = [], []
+    for at in range(0, len(words), 20_000):
+        part = words[at : at + 20_000]
+        buffer = np.frombuffer(b"".join([b"<%s>" % w for w in part]), np.uint8).astype(np.uint64)
+        of = np.repeat(np.arange(at, at + len(part)), [len(w) + 2 for w in part])
+        n = max(0, len(buffer) - GRAM + 1)
+        keys = np.zeros(n, np.uint64)
+        for k in range(GRAM):
+            keys = keys * np.uint64(0x100000001B3) + buffer[k : k + n] + np.uint64(1)
+        inside = of[:n] == of[GRAM - 1 : GRAM - 1 + n]
+        keys = keys[inside]
+        keys ^= keys >> np.uint64(23)
+        keys_of.append((keys % np.uint64(CHAR_ROWS)).astype(np.int64))
+        words_of.append(of[:n][inside])
+    return rows, np.concatenate(keys_of), np.concatenate(words_of)
 
 
 def windows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -307,7 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     """Train on at most ``sample`` rows of each class, the first by a hash of the id, and ``words`` words of each."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key)))
     known = known.groupBy(F.col(key).alias("__k")).agg((F.max(label) > 0).cast("int").alias("__y"))
-    share = known.agg(F.avg("__y")).first()[0] or 0.0
+    share = float(known.agg(F.avg("__y")).first()[0] or 0.0)
     hashed = md5_long(F.col("__k").cast("string"))
     picked = [known.where(F.col("__y") == y).orderBy(hashed).limit(sample) for y in (0, 1)]
     picked = picked[0].unionAll(picked[1])  # 2 * sample rows at most, so it may be broadcast
@@ -323,19 +328,32 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays(columns, names=["k", "y", "run", "words"])
 
     rows = rows.select(F.col("__k").cast("string"), "__y", "__t").mapInArrow(cut, "k string, y int, run int, words array<binary>")
-    sampled = rows.toArrow().sort_by([("k", "ascending"), ("run", "ascending")])  # 2 * sample * SAMPLE_WORDS words at most
-    if not len(sampled):
-        return Model(None, float(share))
-    found = sampled.column("words").combine_chunks()
-    coded = found.flatten().dictionary_encode()
-    keys = sampled.column("k").combine_chunks().dictionary_encode().indices.to_numpy()
-    lengths = np.diff(found.offsets.to_numpy()).astype(np.int64)
-    y = sampled.column("y").to_numpy()[np.unique(keys, return_index=True)[1]]
-    flat, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-    del sampled, found, coded
-    model = train(flat, lengths, distinct, keys, y, float(share))
-    pa.default_memory_pool().release_unused()
-    return model
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        sampled = pa.Table.from_batches(held)
+        found = sampled.column("words").combine_chunks()
+        coded = found.flatten().dictionary_encode()
+        keys = sampled.column("k").combine_chunks().dictionary_encode().indices.to_numpy()
+        y = sampled.column("y").to_numpy()[np.unique(keys, return_index=True)[1]]
+        lengths = np.diff(found.offsets.to_numpy()).astype(np.int64)
+        model = train(coded.indices.to_numpy(zero_copy_only=False), lengths, coded.dictionary.to_pylist(), keys, y, share)
+        arrays = {**(model.p or {}), "scale": np.array(model.scale)}
+        parts = [(k, list(v.shape), v.astype("<f8").tobytes()) for k, v in arrays.items()]
+        columns = zip(zip(*parts, strict=True), (pa.string(), pa.list_(pa.int32()), pa.binary()), strict=True)
+        del held, sampled, found, coded, keys, lengths, model, arrays
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=["name", "shape", "data"])
+
+    # one task trains, on 2 * sample * words words at most; the driver gets the parameters alone
+    rows = rows.repartition(1).sortWithinPartitions("k", "run")
+    got = {r.name: np.frombuffer(r.data, "<f8").reshape(r["shape"]) for r in rows.mapInArrow(learn, "name string, shape array<int>, data binary").collect()}
+    scale = got.pop("scale", None)
+    if not got:
+        return Model(None, share)
+    return Model({k: v.astype(np.float32) for k, v in got.items()}, share, (float(scale[0]), float(scale[1])))
 
 
 def score(df: DataFrame, model: Model, *, text: str = "text", out: str = "score") -> DataFrame:
