@@ -14,5 +14,5 @@ QUERIES = {
 }
 SQL = {
     "op2_source_mixing": mixing.OP2_SQL, "op3_quality_rules": quality.OP3_SQL, "op7_license_scan": licenses.OP7_SQL, "op8_feistel_sharding": shards.OP8_SQL,
-    "op9_warc_archives": warc.OP9_SQL, "op10_decontamination": decontaminate.OP10_SQL,
+    "op6_repeated_bytes": suffixes.OP6_SQL, "op9_warc_archives": warc.OP9_SQL, "op10_decontamination": decontaminate.OP10_SQL,
 }

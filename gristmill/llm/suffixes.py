@@ -326,3 +326,21 @@ def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int
         kept = bytes(c for j, c in enumerate(r) if j not in set(gone)) if gone else r
         out.append((len(r), len(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+OP6_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), starts AS (SELECT rid, p, md5(substr(h, 2 * p + 1, {2 * LENGTH})) AS m FROM d, LATERAL (SELECT unnest(range(greatest(0, len(h) // 2 - {LENGTH - 1}))) AS p)
+), bad AS (SELECT rid, p FROM starts QUALIFY count(*) OVER (PARTITION BY m) > 1
+), parted AS (
+  SELECT rid, p, sum(new) OVER (PARTITION BY rid ORDER BY p) AS part
+  FROM (SELECT rid, p, CASE WHEN p <= lag(p) OVER (PARTITION BY rid ORDER BY p) + {LENGTH} THEN 0 ELSE 1 END AS new FROM bad)
+), spans AS (SELECT rid, min(p) AS a, max(p) + {LENGTH} AS b FROM parted GROUP BY rid, part
+), pieces AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS since FROM spans
+), cut AS (
+  SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept FROM pieces JOIN d USING (rid) GROUP BY rid
+)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (rid)
+"""
