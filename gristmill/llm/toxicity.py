@@ -40,7 +40,7 @@ SAMPLE_WORDS, RUN_WORDS = 8192, 256
 ROUNDS, BATCH, RATE = 5, 128, 0.01
 THRESHOLD = 0.3
 #: Windows computed at once.
-CHUNK = 4096
+CHUNK = 2048
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -75,8 +75,8 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         inside = of[:n] == of[GRAM - 1 : GRAM - 1 + n]
         keys = keys[inside]
         keys ^= keys >> np.uint64(23)
-        keys_of.append((keys % np.uint64(CHAR_ROWS)).astype(np.int64))
-        words_of.append(of[:n][inside])
+        keys_of.append((keys % np.uint64(CHAR_ROWS)).astype(np.int32))
+        words_of.append(of[:n][inside].astype(np.int32))
     return rows, np.concatenate(keys_of), np.concatenate(words_of)
 
 
@@ -116,6 +116,11 @@ class Model:
                 out[:-1, EMBED + k] = np.bincount(of, self.p["char"][grams, k], minlength=len(rows)) / n
         return out
 
+    def projected(self, feats: tuple) -> np.ndarray:
+        out = self.inputs(feats) @ self.p["wx"]
+        out += self.p["bx"]
+        return out
+
     def forward(self, proj: np.ndarray, ids: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logit of each window. ids: (windows, WINDOW) rows of proj."""
         p, h = self.p, HIDDEN
@@ -196,7 +201,7 @@ class Model:
         best = np.full(len(texts), -np.inf)
         if len(doc):
             with np.errstate(over="ignore"):
-                proj = self.inputs(features(words)) @ self.p["wx"] + self.p["bx"]
+                proj = self.projected(features(words))
                 np.maximum.at(best, doc, self.window_logits(flat, begin, size, proj))
                 return np.where(lengths > 0, _sigmoid(self.scale[0] * best + self.scale[1]), 0.0)
         return np.zeros(len(texts))
@@ -270,7 +275,7 @@ def train(flat: np.ndarray, lengths: np.ndarray, words: list[bytes], run_doc: np
                     m += 0.1 * (g[k] - m)
                     s += 0.001 * (g[k] * g[k] - s)
                     v -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-            proj = model.inputs(feats) @ model.p["wx"] + model.p["bx"]
+            proj = model.projected(feats)
             logits = model.window_logits(flat, begin, size, proj)
     best = np.full(len(y), -np.inf)
     np.maximum.at(best, doc, logits)
