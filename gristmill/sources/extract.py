@@ -14,6 +14,7 @@ from __future__ import annotations
 import ast
 import heapq
 import io
+import re
 import tokenize
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -262,7 +263,7 @@ class Census:
         if isinstance(target, ast.Name):
             self.site(scope, target.id, form, target.lineno, target.col_offset, direct=self._direct(scope, maybe), value=value, **more)
         elif isinstance(target, (ast.Tuple, ast.List, ast.Starred)):
-            for part in getattr(target, "elts", None) or [target.value]:
+            for part in [target.value] if isinstance(target, ast.Starred) else target.elts:
                 self.store(part, form, scope, maybe, value, **more | {"top": False})
         else:
             for child in ast.iter_child_nodes(target):
@@ -602,14 +603,16 @@ class _File:
     classes: dict[int, list[tuple[list[str], int, int]]]
 
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
 def file_facts(source: str | None) -> list[dict]:
     """Fact rows (all but the path) of one text."""
     text = normalize(source or "")
     if "\0" in text:
         return [_error("encode", "source contains null bytes")]
-    lone = next((i for i, c in enumerate(text) if "\ud800" <= c <= "\udfff"), None) if not text.isascii() else None
-    if lone is not None:
-        return [_error("encode", f"source contains lone surrogate at index {lone}")]
+    if lone := _SURROGATE.search(text):
+        return [_error("encode", f"source contains lone surrogate at index {lone.start()}")]
     try:
         tree = ast.parse(text)
     except RecursionError:

@@ -210,3 +210,13 @@ def test_queries_match_sql(spark, name):
 
 def _glob(path):
     return f"{path}/*.parquet" if os.path.isdir(path) else path
+
+
+def test_standard_library_is_read_without_failing():
+    import pathlib
+    import sysconfig
+
+    files = sorted(pathlib.Path(sysconfig.get_paths()["stdlib"]).glob("*.py"))[:150]
+    rows = [file_facts(p.read_text(encoding="utf-8")) for p in files]
+    assert len(files) == 150 and not [r for f in rows for r in f if r["fact"] == "error"]
+    assert file_facts("() = x\n[] = y\n(a, *b) = z\n") == [] and file_facts("x = '\ud800'")[0]["name"] == "encode"
