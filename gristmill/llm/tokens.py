@@ -159,6 +159,7 @@ def _flags(members: bytes) -> np.ndarray:
 
 #: Bytes of ASCII letters and of UTF-8 letters from U+00C0 to U+023F (what is no letter there is looked for apart).
 _LETTERS = _flags(bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(0x80, 0xC0)) + bytes(range(0xC3, 0xC9)))
+_LOWER = np.frombuffer(LOWER_TABLE, np.uint8)
 #: 1 white space, 2 a stop, 4 no letter.
 _KINDS = (_flags(b" \t\n\r\x0b\x0c") + 2 * _flags(b".,") + 4 * ~_LETTERS).astype(np.uint8)
 #: Pairs of bytes that are no letter, or one whose lower case is two signs: times, divided by, capital I with a dot.
@@ -170,7 +171,7 @@ def pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, byte
 
     A piece is a word, but stops after a word of Latin letters are a piece of their own; white space is left out.
     """
-    raw = b" ".join([*texts, b""]).translate(LOWER_TABLE)
+    raw = b" ".join([*texts, b""])
     line = np.frombuffer(raw, np.uint8)
     kind = _KINDS[line]
     space = (kind & 1).astype(bool)
@@ -187,12 +188,17 @@ def pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, byte
     strange = np.concatenate(([0], np.cumsum(other != 0, dtype=np.int32)))
     letters = (strange[core] == strange[begin]) & (core > begin)
     core = np.where(letters, core, end)
+    # letters in lower case, so that more of them are alike; other words may be special tokens, whose case counts
+    low = np.zeros(len(line) + 1, np.int8)
+    low[begin[letters]] = 1
+    low[core[letters]] -= 1
+    line = np.where(np.cumsum(low[:-1], dtype=np.int8) > 0, _LOWER[line], line)
     both = np.stack((core - begin, end - core), axis=1).reshape(-1)
     alone = np.stack((letters, np.zeros(len(begin), bool)), axis=1).reshape(-1)
     keep = both > 0
     words = np.searchsorted(begin, np.cumsum([len(t) + 1 for t in texts]))  # words up to the end of each text
     ends = np.concatenate(([0], np.cumsum(keep)))[2 * words]
-    return both[keep], alone[keep], np.diff(np.concatenate(([0], ends))), raw.translate(None, b" \t\n\r\x0b\x0c")
+    return both[keep], alone[keep], np.diff(np.concatenate(([0], ends))), line.tobytes().translate(None, b" \t\n\r\x0b\x0c")
 
 
 class Encoder:

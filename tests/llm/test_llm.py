@@ -120,7 +120,7 @@ def test_encoder_by_word_is_exact(monkeypatch):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     signs = "abcXYZ019 .,;'-  \n\t\x0b\x0céÉßÿ×÷İıŉſǅȿɐµªº\u00a0\u0301日本😀<|>"
-    texts = ["It's A test, of İstanbul... naïve 12ab <|endoftext|>x  ́a", "ÀÉ ,. don't'll x y z w", "", *("".join(RNG.choices(signs, k=60)) for _ in range(300))]
+    texts = ["It's A test, of İstanbul... naïve 12ab <|endoftext|>x  ́a", "<|ENDOFTEXT|> A<|EndOfText|>. <|endoftext|> <|STARTOFTEXT|>B", "WORD Word. word, WoRd...", "ÀÉ ,. don't'll x y z w", "", *("".join(RNG.choices(signs, k=60)) for _ in range(300))]
     split, whole = tokens.Encoder(path, True), tokens.Encoder(path, False)
     for size in (300_000, 50):  # with and without forgetting
         monkeypatch.setattr(tokens, "CACHE_WORDS", size)
