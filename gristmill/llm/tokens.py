@@ -39,9 +39,9 @@ END_ID = 1
 #: Ids in a file, up to the last document's.
 FILE_IDS = 2_000_000
 #: Distinct pieces from which a worker forgets those it keeps.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: Characters tokenized at once.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
 RANK_BITS = 512
 MAGIC = b"GMDAC001"
 
