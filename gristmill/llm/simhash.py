@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER_TABLE, free_name, quoted, settle, table, utf8
-from .graph import components
+from .graph import components, smallest_of
 
 SHINGLE = 4
 SEED = 42
@@ -77,21 +77,6 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _settle(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Give linked places the smallest label of their component, in place."""
-    while True:
-        low = np.minimum(labels[a], labels[b])
-        if (labels[a] == low).all() and (labels[b] == low).all():
-            return
-        np.minimum.at(labels, labels[a], low)
-        np.minimum.at(labels, labels[b], low)
-        while True:
-            up = labels[labels]
-            if (up == labels).all():
-                break
-            labels[:] = up
-
-
 def group_links(keys: np.ndarray, codes: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
     """Links (code, smallest code of its component) among codes with equal keys."""
     if not len(codes):
@@ -104,7 +89,7 @@ def group_links(keys: np.ndarray, codes: np.ndarray, limit: int = LIMIT) -> tupl
     place[by_code] = np.arange(len(codes))
     labels = np.arange(len(codes))
     near = np.flatnonzero((keys[1:] == keys[:-1]) & (np.bitwise_count(codes[1:] ^ codes[:-1]) <= limit))
-    _settle(labels, place[near], place[near + 1])
+    smallest_of(labels, place[near], place[near + 1])
 
     new = np.ones(len(codes), bool)
     new[1:] = keys[1:] != keys[:-1]
@@ -151,7 +136,7 @@ def group_links(keys: np.ndarray, codes: np.ndarray, limit: int = LIMIT) -> tupl
             ca, cb = np.repeat(first[level][a], each) + at // wide, np.repeat(first[level][b], each) + at % wide
             level, a, b, acc = step_down(level, ca, cb, np.repeat(acc, each))
         if len(a):
-            _settle(labels, place[starts[8][a]], place[starts[8][b]])
+            smallest_of(labels, place[starts[8][a]], place[starts[8][b]])
 
     def step_down(level: int, ca: np.ndarray, cb: np.ndarray, acc: np.ndarray) -> tuple:
         level += 1
@@ -199,9 +184,10 @@ def groups(codes: DataFrame, limit: int, group_rows: int) -> DataFrame:
         key = F.xxhash64("key", "mask", F.col("code").bitwiseAND(F.col("mask")))
         rows = rows.select("code", key.alias("key"), F.col("fixed").bitwiseOR(F.col("mask")).alias("fixed"))
         hot = rows.where(F.bit_count("fixed") < 64 - LEAST_FREE).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        hot = settle(hot.where(F.col("n") > group_rows).select("key"), "hot")
+        hot = hot.where(F.col("n") > group_rows).select("key")
         if hot.isEmpty():
             break
+        hot = settle(hot, "hot")
         done.append(rows.join(hot, "key", "left_anti").select("code", "key"))
         rows = settle(rows.join(hot, "key", "left_semi").select("code", "key", "fixed"), "hot-rows")
         fixed = sorted(r[0] % 2**64 for r in rows.select("fixed").distinct().collect())  # kinds of masks, not groups: (limit + 1) ** depth at most

@@ -4,7 +4,7 @@ Two texts are near-duplicates if their sets of word shingles have a Jaccard simi
 A SimHash radius finds the near ones cheaply, but by the angle of such sets a pair at 0.8 is about ten bits
 apart, so no radius that an index can serve finds all of them. So there are two phases:
 
-1. SimHash: texts whose fingerprints the Gray-order index links (see simhash) are judged by their shingles.
+1. SimHash: texts whose fingerprints the Gray-order index links (see simhash) are pairs to be judged.
 2. Prefixes: sets are put in one order for all; two sets that are similar enough share one of the first few
    shingles of each, so only those are dealt. The order puts shingles last that many texts of a sample hold,
    which decides the cost and never the result. Texts that are connected already are not compared again.
@@ -50,7 +50,7 @@ SMALL = 4
 GROUP_ROWS = 50_000
 #: Pairs for each text of a group from which it gives only those that would connect it, and rounds in which it may.
 MANY = 4
-FORESTS = 2
+FORESTS = 1
 #: Width of the bitmaps then.
 WIDE = 4
 #: Bytes of bitmaps compared at once, and bytes of sets held.
@@ -183,8 +183,9 @@ def sketches(df: DataFrame, key: str, text: str, width: int, percent: int, commo
 def _groups(rows: DataFrame, judge: Callable, schema: str, group_rows: int) -> DataFrame:
     """judge(columns of one group) for every group; rows have the group's key first, then a code."""
     key, code = rows.columns[:2]
-    hot = settle(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > group_rows), "hot")
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > group_rows)
     if not hot.isEmpty():  # in pairs of blocks: rows of any two blocks meet
+        hot = settle(hot, "hot")
         blocks = F.ceil(F.col("__n") * 2 / group_rows).cast("int")
         own = F.pmod(F.xxhash64(code), blocks).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.xxhash64(F.col(key), F.least(k, own), F.greatest(k, own)))
@@ -231,18 +232,18 @@ def _groups(rows: DataFrame, judge: Callable, schema: str, group_rows: int) -> D
     return rows.mapInArrow(run, schema)
 
 
-def first_round(codes: np.ndarray, n: np.ndarray, place: np.ndarray, roots: np.ndarray, percent: int) -> Iterator[tuple]:
+def first_round(codes: np.ndarray, n: np.ndarray, place: np.ndarray, percent: int) -> Iterator[tuple]:
     """g, u, v: pairs to be judged (g 0), then members u of groups g to be looked at again."""
     codes, at = np.unique(codes, return_index=True)
-    n, place, roots = n[at], place[at], roots[at]
-    if len(codes) < 2 or (roots == roots[0]).all():
+    n, place = n[at], place[at]
+    if len(codes) < 2:
         return
     left, linked = np.arange(len(codes)), 0
     while len(left) > 1:
         a, rest = left[0], left[1:]
         most = np.minimum(n[a] - place[a], n[rest] - place[rest])  # members both may have: the shared one is the first
         near = most * 100 >= percent * (n[a] + n[rest] - most)
-        b = rest[near & (roots[rest] != roots[a])]
+        b = rest[near]
         linked += len(b)
         yield np.zeros(len(b), np.int64), np.full(len(b), codes[a]), codes[b]
         left = rest if len(codes) <= SMALL else rest[~near]
@@ -340,10 +341,16 @@ def _judged(df: DataFrame, text: str, pairs: DataFrame, sets: DataFrame, width:
     return found
 
 
-def _rooted(codes: DataFrame, found: DataFrame) -> DataFrame:
-    """codes (any columns, code among them) with the root of each code."""
-    roots = components(found)
-    return codes.join(roots, codes.code == roots.node, "left").withColumn("root", F.coalesce("root", "code")).drop("node")
+def _connected(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """roots (code, root), after the links found: only what they connect anew is looked at."""
+    ends = found.join(roots.select(F.col("code").alias("u"), F.col("root").alias("a")), "u").join(roots.select(F.col("code").alias("v"), F.col("root").alias("b")), "v")
+    new = settle(ends.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "new-links")
+    if new.isEmpty():
+        return roots
+    moved = components(new).select("node", F.col("root").alias("to"))
+    after = settle(roots.join(moved, roots.root == moved.node, "left").select("code", F.coalesce("to", "root").alias("root")), "roots")
+    forget(new, roots)
+    return after
 
 
 def _classes(df: DataFrame, key: str, text: str, width: int, percent: int, limit: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -351,6 +358,7 @@ def _classes(df: DataFrame, key: str, text: str, width: int, percent: int, limit
     rows = settle(sketches(df, key, text, width, percent, common_shingles(df, text, width)), "sketches")
     sets = settle(rows.where("n is not null").drop("k", "th").dropDuplicates(["code"]), "sets")
     docs = settle(rows.select("k", "th", "code"), "codes")
+    roots = settle(sets.select("code", F.col("code").alias("root")), "roots")
     forget(rows)
     release(df.sparkSession)
 
@@ -360,35 +368,31 @@ def _classes(df: DataFrame, key: str, text: str, width: int, percent: int, limit
     near = sets.join(prints, "fp").where("code <> least").select(F.col("least").alias("u"), F.col("code").alias("v"))
     ends = linked.join(prints.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v")
     pairs = settle(near.unionAll(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))), "pairs")
-    found = _judged(df, text, pairs, sets, width, percent)
 
     # prefixes, leaders first
-    rooted = _rooted(sets.select("code", "n", "first"), found)
-    dealt = rooted.select("code", "n", "root", F.posexplode("first").alias("place", "token")).select("token", "code", "n", "place", "root")
-    dealt = settle(_groups(dealt, lambda c, n, p, r: first_round(c, n, p.astype(np.int64), r, percent), "g long, u long, v long", group_rows), "groups")
+    dealt = sets.select("code", "n", F.posexplode("first").alias("place", "token")).select("token", "code", "n", "place")
+    dealt = settle(_groups(dealt, lambda c, n, p: first_round(c, n, p.astype(np.int64), percent), "g long, u long, v long", group_rows), "groups")
     release(df.sparkSession)
-    led = settle(dealt.where("g = 0").select("u", "v").distinct(), "pairs")
+    led = settle(dealt.where("g = 0").select("u", "v").unionAll(pairs).distinct(), "pairs")
     members = settle(dealt.where("g <> 0").select("g", F.col("u").alias("code")).distinct(), "members")
     forget(dealt, pairs)
     release(df.sparkSession)
-    found = settle(found.unionAll(_judged(df, text, led, sets, width, percent)), "similar")
+    roots = _connected(roots, _judged(df, text, led, sets, width, percent))
 
     # and what is left of the groups
     rounds = 0
     while True:
-        known = _rooted(sets.select("code"), found)
-        rooted = members.join(known, "code").select("g", "code", "root")
+        rooted = members.join(roots, "code").select("g", "code", "root")
         open_ = rooted.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("g")
         again = rooted.join(open_, "g", "left_semi").join(sets.select("code", "n", "wide"), "code").select("g", "code", "n", "wide", "root")
         again = _groups(again, lambda c, n, m, r, every=rounds >= FORESTS: second_round(c, n, m, r, percent, every), "g long, u long, v long", group_rows)
         again = settle(again, "again")
         release(df.sparkSession)
         pairs = settle(again.where("g = 0").select("u", "v").distinct().join(led, ["u", "v"], "left_anti"), "pairs")
-        found = settle(found.unionAll(_judged(df, text, pairs, sets, width, percent)), "similar")
+        roots = _connected(roots, _judged(df, text, pairs, sets, width, percent))
         led, rounds = led.unionAll(pairs), rounds + 1
         if again.where("g <> 0").isEmpty():
-            break
-    return docs, _rooted(sets.select("code"), found)
+            return docs, roots
 
 
 def keep_one(
