@@ -33,14 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, scratch, settle, table, utf8, worker_cache
+from .common import LOWER_TABLE, give_back, scratch, settle, table, utf8, worker_cache
 
 END_ID = 1
 #: Ids in a file, up to the last document's.
 FILE_IDS = 2_000_000
 #: Distinct pieces from which a worker forgets those it keeps.
 CACHE_WORDS = 500_000
-#: Characters tokenized at once.
+#: Rows that go to a Python worker at once, and characters tokenized at once.
+BATCH_ROWS = 1000
 BATCH_BYTES = 3 << 20
 RANK_BITS = 512
 MAGIC = b"GMDAC001"
@@ -339,9 +340,17 @@ def write_tokens(
             yield from close(len(keys))
         if found:
             yield file()
+        found, ids = [], []
+        give_back()
 
     files = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    files.write.option("maxRecordsPerFile", 1).text(path)
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(min(int(before), BATCH_ROWS)) if int(before) > 0 else str(BATCH_ROWS))  # while the files are written
+    try:
+        files.write.option("maxRecordsPerFile", 1).text(path)
+    finally:
+        conf.set(name, before)
 
 
 def read_tokens(spark: SparkSession, path: str, *, key: str = "doc_id", key_type: str = "long") -> DataFrame:
