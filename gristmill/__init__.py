@@ -17,9 +17,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 def analyze(sources: DataFrame, select: set[str] | None = None, ignore: set[str] | frozenset[str] = frozenset(), max_file_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Findings, and errors (path, kind, message), of sources. Each file is parsed once."""
-    from .operators import findings as O
-    from .sources.extract import facts
+    from .operators import local
     from .store import settled
 
-    made = settled(facts(sources, max_file_bytes), "fact")
-    return O.findings(made, select, ignore), O.errors(made)
+    made = settled(local.audited(sources, select, ignore, max_file_bytes))
+    return local.found(made), local.failed(made)

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from ..functions import directives as D
 from ..operators import findings as O
 from ..operators import lines as L
+from ..operators import local as A
 from ..operators import reports as R
 from ..sources import baseline as B
 from ..sources import git as G
-from ..sources.extract import facts
 from ..sources.reading import decoded, excluded, is_python
 from ..store import settled
 from . import cases, catalog
@@ -57,13 +57,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _facts(spark: SparkSession, sf_dir: str, name: str, key: str, templates: list[str]) -> DataFrame:
-    """Facts of a module for every row of a table, each parsed once."""
-    return settled(facts(_modules(_table(spark, sf_dir, name).select(key), key, templates)), "fact")
+def _audited(spark: SparkSession, sf_dir: str, name: str, key: str, templates: list[str], **rules: set[str]) -> DataFrame:
+    """Findings and errors of a module for every row of a table, each parsed once."""
+    return A.audited(_modules(_table(spark, sf_dir, name).select(key), key, templates), **rules)
 
 
-def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.findings(_facts(spark, sf_dir, "orders", "o_orderkey", TEMPLATES))
+def _findings(spark: SparkSession, sf_dir: str, **rules: set[str]) -> DataFrame:
+    return A.found(_audited(spark, sf_dir, "orders", "o_orderkey", TEMPLATES, **rules))
+
+
+def _customer_findings(spark: SparkSession, sf_dir: str, templates: list[str], **rules: set[str]) -> DataFrame:
+    return A.found(_audited(spark, sf_dir, "customer", "c_custkey", templates, **rules))
+
+
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.failed(_audited(spark, sf_dir, "supplier", "s_suppkey", [t for t, _ in cases.BROKEN]))
 
 
 def _long(name: str) -> F.Column:
@@ -76,7 +84,7 @@ def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decorator and patch rules, one of them off by default."""
-    rows = O.findings(_facts(spark, sf_dir, "customer", "c_custkey", TEST_TEMPLATES), select={"TW008", "TW009", "TW012"})
+    rows = _customer_findings(spark, sf_dir, TEST_TEMPLATES, select={"TW008", "TW009", "TW012"})
     return rows.select("code", "path", _long("line"), "fingerprint")
 
 
@@ -93,31 +101,31 @@ def audit_changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All thirteen rules over modules that meet, miss or explain each."""
-    rows = O.findings(_facts(spark, sf_dir, "customer", "c_custkey", [t for t, _ in cases.RULES]), select=set(catalog.CODES))
+    rows = _customer_findings(spark, sf_dir, [t for t, _ in cases.RULES], select=set(catalog.CODES))
     return rows.select("code", "path", _long("line"), _long("col"))
 
 
 def audit_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a name means after each way to bind it."""
-    rows = O.findings(_facts(spark, sf_dir, "customer", "c_custkey", [t for t, _ in cases.SCOPES]))
+    rows = _customer_findings(spark, sf_dir, [t for t, _ in cases.SCOPES])
     return rows.select("code", "path", _long("line"), _long("col"))
 
 
 def audit_ignores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of type-ignore comments: scopes of lines, tokens of logical lines, duplicates."""
-    rows = O.findings(_facts(spark, sf_dir, "customer", "c_custkey", [t for t, _ in cases.IGNORES]), select={"TW003"})
+    rows = _customer_findings(spark, sf_dir, [t for t, _ in cases.IGNORES], select={"TW003"})
     return rows.select("path", "fingerprint")
 
 
 def audit_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selected rules without ignored ones; fingerprints are those of any other selection."""
-    rows = O.findings(_facts(spark, sf_dir, "orders", "o_orderkey", TEMPLATES), select={"TW001", "TW002", "TW003"}, ignore={"TW002"})
+    rows = _findings(spark, sf_dir, select={"TW001", "TW002", "TW003"}, ignore={"TW002"})
     return rows.select("code", "path", "fingerprint")
 
 
 def audit_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that cannot be analysed give a row that says so, and nothing else."""
-    return O.errors(_facts(spark, sf_dir, "supplier", "s_suppkey", [t for t, _ in cases.BROKEN])).select("path", "kind")
+    return _errors(spark, sf_dir).select("path", "kind")
 
 
 def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +135,7 @@ def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON report's objects, one a line."""
-    return R.json_lines(O.findings(_facts(spark, sf_dir, "customer", "c_custkey", TEST_TEMPLATES), select={"TW008"})).select("value")
+    return R.json_lines(_customer_findings(spark, sf_dir, TEST_TEMPLATES, select={"TW008"})).select("value")
 
 
 def audit_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,19 +274,19 @@ def rule_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The results of a SARIF document."""
-    rows = O.findings(_facts(spark, sf_dir, "customer", "c_custkey", TEST_TEMPLATES), select={"TW008", "TW012"})
+    rows = _customer_findings(spark, sf_dir, TEST_TEMPLATES, select={"TW008", "TW012"})
     return R.sarif_results(rows).select("value")
 
 
 def audit_linter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings as a linter takes them."""
-    rows = O.findings(_facts(spark, sf_dir, "customer", "c_custkey", [t for t, _ in cases.SCOPES]))
+    rows = _customer_findings(spark, sf_dir, [t for t, _ in cases.SCOPES])
     return R.linter_rows(rows).select(_long("line"), _long("column"), "text")
 
 
 def audit_error_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines for files with null bytes; other messages differ from one Python to another."""
-    errors = O.errors(_facts(spark, sf_dir, "supplier", "s_suppkey", [t for t, _ in cases.BROKEN])).where("kind = 'encode'")
+    errors = _errors(spark, sf_dir).where("kind = 'encode'")
     return R.error_lines(errors).select("value")
 
 

@@ -18,10 +18,10 @@ def shared_folder(spark: SparkSession) -> str:
     return root or f"{tempfile.gettempdir()}/gristmill-checkpoints"
 
 
-def settled(df: DataFrame, by: str) -> DataFrame:
-    """df written by the values of a column, so that a reader of one value reads no other; removed when the driver ends."""
+def settled(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df written, by the values of a column if one is named, so that a reader of one value reads no other; removed when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/gristmill/{by}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/gristmill/{by or 'rows'}-{uuid.uuid4().hex}"
 
     def drop() -> None:
         try:
@@ -30,7 +30,7 @@ def settled(df: DataFrame, by: str) -> DataFrame:
             pass
 
     atexit.register(drop)
-    df.write.partitionBy(by).parquet(path)
+    df.write.partitionBy(*[by] if by else []).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,10 +3,13 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import gristmill
+from gristmill.functions import comments
 from gristmill.functions import directives as D
 from gristmill.operators import findings as O
+from gristmill.operators import local
 from gristmill.operators import names as N
 from gristmill.plans import cases, catalog, queries
 from gristmill.sources.extract import Lexed, facts, file_facts
@@ -220,3 +223,50 @@ def test_standard_library_is_read_without_failing():
     rows = [file_facts(p.read_text(encoding="utf-8")) for p in files]
     assert len(files) == 150 and not [r for f in rows for r in f if r["fact"] == "error"]
     assert file_facts("() = x\n[] = y\n(a, *b) = z\n") == [] and file_facts("x = '\ud800'")[0]["name"] == "encode"
+
+
+def _mutated(rng, text):
+    at, to = sorted(rng.randrange(len(text) + 1) for _ in range(2))
+    return text[:at] + rng.choice(["", text[at:to] * 2, ",", " ", "[a]", "SAFETY: a b", "=", "'", "\x1c", "#", "pyright:basic", "\u00a0"]) + text[rng.choice([at, to]):]
+
+
+def test_comment_grammars_of_the_worker_are_those_of_the_plans(spark):
+    rng = random.Random(7)
+    texts = [c[0] for c in cases.DIRECTIVES]
+    texts += [_mutated(rng, rng.choice(texts)) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    c = F.col("c")
+    ignore = F.when(D.is_type_ignore(c), F.struct(D.ignore_norm(c).alias("a"), D.ignore_codes_valid(c).alias("b"), D.inline_reason(c).isNotNull().alias("c")))
+    said = D.safety_codes(c)
+    for r in df.select("c", F.when(said.isNotNull(), D.accepted_codes(said)).alias("s"), ignore.alias("i"), D.disable_norm(c).alias("d")).collect():
+        assert comments.evidence(r.c) == (None if r.s is None else set(r.s)), r.c
+        assert comments.type_ignore(r.c) == (None if r.i is None else tuple(r.i)), r.c
+        assert comments.disable_norm(r.c) == r.d, r.c
+
+
+def test_one_pass_finds_what_the_plans_find(spark):
+    """The worker's findings against the plans over fact rows: all cases, statements of cases put together, and bodies in functions."""
+    rng = random.Random(11)
+    texts = [t.replace("{k}", "7") for t, *_ in cases.RULES + cases.SCOPES + cases.IGNORES + cases.BROKEN] + [*queries.TEMPLATES, *queries.TEST_TEMPLATES]
+    sound = [t for t in texts if not [r for r in file_facts(t) if r["fact"] == "error"]]
+    for _ in range(400):
+        parts = [rng.choice(sound) for _ in range(rng.randrange(2, 5))]
+        parts = [p if rng.random() < 0.7 else rng.choice(["def g():\n", "class G:\n", "if y:\n", "async def h(cast, T=1):\n"]) + "".join(f"    {line}\n" for line in p.splitlines()) + "    pass\n" for p in parts]
+        texts.append("".join(parts))
+    df = spark.createDataFrame([(f"{k}.py", t) for k, t in enumerate(texts)], "path string, text string").cache()
+    made = facts(df).cache()
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    for rules in ({"select": set(catalog.CODES)}, {}, {"select": {"TW001", "TW003"}, "ignore": {"TW001"}}):
+        got = local.audited(df, **rules).cache()
+        assert rows(local.found(got)) == rows(O.findings(made, **rules)) and local.found(got).columns == O.FINDING
+    assert rows(local.failed(got)) == rows(O.errors(made)) and len(rows(O.findings(made))) > 500
+
+
+def test_one_pass_has_no_shuffle_but_that_of_the_sources_and_small_tasks(spark, monkeypatch):
+    """No intermediate row is shuffled, and a task has so many files however large the table is."""
+    from gristmill.sources import extract
+
+    plan = queries.audit_selection(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
+    monkeypatch.setattr(extract, "FILES", 10)
+    assert queries.audit_selection(spark, SF).rdd.getNumPartitions() == 150
