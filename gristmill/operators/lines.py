@@ -75,9 +75,10 @@ def escape(text: str) -> str:
 
 
 def escaped(text: Column) -> Column:
-    """The same as a column; plain ASCII stays in the JVM."""
+    """The same as a column; the worker sees a null for plain ASCII, which stays in the JVM."""
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else escape(v))
 
-    return run(text)
+    plain = text.rlike(r"\A[ -~]*\z")
+    return F.when(plain, text).otherwise(run(F.when(~plain, text)))

@@ -270,3 +270,18 @@ def test_one_pass_has_no_shuffle_but_that_of_the_sources_and_small_tasks(spark,
     assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
     monkeypatch.setattr(extract, "FILES", 10)
     assert queries.audit_selection(spark, SF).rdd.getNumPartitions() == 150
+
+
+def _steps(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sorted_reports_parse_once_and_plain_text_stays_in_the_jvm(spark):
+    """A sort over the parsing pass would run it twice; the worker that escapes gets nulls for plain ASCII."""
+    assert "MapInArrow" not in _steps(queries.audit_report(spark, SF))
+    from gristmill.operators import lines
+
+    texts = ["plain.py", "a\n", "\n", "é", "\x7f", "", None, "‮"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(lines.escaped(F.col("t"))).collect()] == [None if t is None else lines.escape(t) for t in texts]
+    assert "CASE WHEN NOT RLIKE" in df.select(lines.escaped(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
