@@ -285,3 +285,9 @@ def test_sorted_reports_parse_once_and_plain_text_stays_in_the_jvm(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(lines.escaped(F.col("t"))).collect()] == [None if t is None else lines.escape(t) for t in texts]
     assert "CASE WHEN NOT RLIKE" in df.select(lines.escaped(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_first_of_each_rule_are_cut_before_the_shuffle(spark):
+    """No task sorts all findings of a rule: each part gives its first ones."""
+    steps = _steps(queries.audit_top(spark, SF))
+    assert steps.count("WindowGroupLimit") == 2 and steps.count("Exchange") == 2 and "Join" not in steps
