@@ -291,3 +291,8 @@ def test_the_first_of_each_rule_are_cut_before_the_shuffle(spark):
     """No task sorts all findings of a rule: each part gives its first ones."""
     steps = _steps(queries.audit_top(spark, SF))
     assert steps.count("WindowGroupLimit") == 2 and steps.count("Exchange") == 2 and "Join" not in steps
+
+
+def test_counts_shuffle_a_rule_and_path_a_finding(spark):
+    steps = _steps(queries.audit_counts(spark, SF))
+    assert steps.count("Exchange") == 3 and "Join" not in steps and "Window" not in steps  # sources, rules and paths, counts
