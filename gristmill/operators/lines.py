@@ -43,7 +43,8 @@ def cut(line: Column) -> Column:
 
 def snippets(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """rows (findings) with snippet: its first line, up to two lines on either side (cut), the line and column to point at; null without a source."""
-    text = sources.select(F.col("path").alias("sp"), F.split(normalized(F.col("text")), "\n", -1).alias("all"))
+    # texts may be far larger than the table they are made from, by whose size they would be sent to all
+    text = sources.select(F.col("path").alias("sp"), F.split(normalized(F.col("text")), "\n", -1).alias("all")).hint("merge")
     rows = rows.join(text, F.col("path") == F.col("sp"), "left")
     start, end = F.greatest(F.lit(1), F.col("line") - CONTEXT), F.least(F.size("all"), F.col("line") + CONTEXT)
     part = F.transform(F.slice("all", start, end - start + 1), cut)
