@@ -138,12 +138,13 @@ def ordered(rows: DataFrame) -> DataFrame:
 
 
 def nfc(text: Column) -> Column:
-    """The composed form of a text; ASCII texts are one already and stay in the JVM."""
+    """The composed form of a text; ASCII texts are one already and stay in the JVM, the worker sees a null for them."""
     @F.pandas_udf("string")
     def compose(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
-    return compose(text)
+    plain = text.rlike(r"\A\p{ASCII}*\z")
+    return F.when(plain, text).otherwise(compose(F.when(~plain, text)))
 
 
 def on_changed_lines(rows: DataFrame, changed: DataFrame) -> DataFrame:
@@ -158,7 +159,8 @@ def on_changed_lines(rows: DataFrame, changed: DataFrame) -> DataFrame:
     events = lines.select("np", "at", F.lit(0).alias("late")).unionByName(ends, allowMissingColumns=True)
     upto = Window.partitionBy("np").orderBy("at", "late").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     events = events.withColumn("n", F.sum(F.when(F.col("late") == 0, 1).otherwise(0)).over(upto)).where("row IS NOT NULL")
-    kept = events.groupBy("row").agg(F.sum(F.col("n") * F.col("sign")).alias("inside"), (F.count(F.lit(1)) / 2).cast("int").alias("times")).where("inside > 0")
+    # a row has one path, so its events lie together already
+    kept = events.groupBy("np", "row").agg(F.sum(F.col("n") * F.col("sign")).alias("inside"), (F.count(F.lit(1)) / 2).cast("int").alias("times")).where("inside > 0")
     return kept.select("row.*", F.explode(F.sequence(F.lit(1), "times")).alias("copy")).drop("copy")
 
 

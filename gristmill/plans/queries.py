@@ -101,7 +101,7 @@ def audit_changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings on lines that line items name: the item's number is the changed line of its order's module."""
     items = _table(spark, sf_dir, "lineitem")
     changed = items.select(F.concat(F.lit("pkg/m"), F.col("l_orderkey"), F.lit(".py")).alias("path"), F.col("l_linenumber").alias("line"))
-    return O.on_changed_lines(_findings(spark, sf_dir), changed).select("code", "path", _long("line"))
+    return O.on_changed_lines(_findings(spark, sf_dir).select("code", "path", "line", "end_line"), changed).select("code", "path", _long("line"))
 
 
 def audit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

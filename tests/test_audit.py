@@ -293,6 +293,11 @@ def test_the_first_of_each_rule_are_cut_before_the_shuffle(spark):
     assert steps.count("WindowGroupLimit") == 2 and steps.count("Exchange") == 2 and "Join" not in steps
 
 
+def test_changed_lines_shuffle_findings_once(spark):
+    steps = _steps(queries.audit_changed_lines(spark, SF))
+    assert steps.count("Window") == 1 and steps.count("MapInArrow") == 1 and steps.count("Exchange") == 3  # sources, distinct lines, events
+
+
 def test_snippets_never_send_all_texts_to_everyone(spark):
     steps = _steps(queries.audit_snippets(spark, SF))
     assert "SortMergeJoin" in steps and "Broadcast" not in steps and steps.count("MapInArrow") == 1
