@@ -306,3 +306,8 @@ def test_snippets_never_send_all_texts_to_everyone(spark):
 def test_counts_shuffle_a_rule_and_path_a_finding(spark):
     steps = _steps(queries.audit_counts(spark, SF))
     assert steps.count("Exchange") == 3 and "Join" not in steps and "Window" not in steps  # sources, rules and paths, counts
+
+
+def test_baseline_shuffles_findings_once(spark):
+    steps = _steps(queries.audit_baseline(spark, SF))
+    assert steps.count("Exchange") == 2 and "Join" not in steps and "Window" not in steps
