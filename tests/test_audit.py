@@ -311,3 +311,8 @@ def test_counts_shuffle_a_rule_and_path_a_finding(spark):
 def test_baseline_shuffles_findings_once(spark):
     steps = _steps(queries.audit_baseline(spark, SF))
     assert steps.count("Exchange") == 2 and "Join" not in steps and "Window" not in steps
+
+
+def test_all_rules_need_no_shuffle_of_facts(spark):
+    steps = _steps(queries.audit_rules(spark, SF))
+    assert steps.count("Exchange") == 1 and "Join" not in steps and "Window" not in steps
